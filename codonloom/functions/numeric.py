@@ -73,32 +73,30 @@ def hypergeometric_tail(k, n, m, universe) -> Column:
     rest = universe - m - n
     empty = F.array().cast("array<bigint>")
 
-    def total(first: Column, steps: Column, ratio) -> Column:
-        start = F.struct(first.alias("term"), first.alias("total"))
-
-        def add(acc, i):
-            term = acc["term"] * ratio(i)
-            return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-        return F.aggregate(steps, start, add, lambda acc: acc["total"])
+    above = k > mode
 
     def double(c: Column) -> Column:
         return c.cast("double")
 
-    upward = F.when(k < high, F.sequence(k, high - 1)).otherwise(empty)
-    upper = total(
-        _probability(k, n, m, universe), upward,
-        lambda i: double(m - i) * double(n - i) / (double(i + 1) * double(rest + i + 1)),
-    )
-    downward = F.when(k - 1 > low, F.sequence(k - 1, low + 1)).otherwise(empty)
-    lower = total(
-        _probability(k - 1, n, m, universe), downward,
-        lambda i: double(i) * double(rest + i) / (double(m - i + 1) * double(n - i + 1)),
+    def ratio(i: Column) -> Column:
+        up = double(m - i) * double(n - i) / (double(i + 1) * double(rest + i + 1))
+        down = double(i) * double(rest + i) / (double(m - i + 1) * double(n - i + 1))
+        return F.when(above, up).otherwise(down)
+
+    def add(acc: Column, i: Column) -> Column:
+        term = acc["term"] * ratio(i)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    first = _probability(F.when(above, k).otherwise(k - 1), n, m, universe)
+    steps = (
+        F.when(above & (k < high), F.sequence(k, high - 1))
+        .when(~above & (k - 1 > low), F.sequence(k - 1, low + 1))
+        .otherwise(empty)
     )
+    total = F.aggregate(
+        steps, F.struct(first.alias("term"), first.alias("total")), add, lambda acc: acc["total"])
     tail = (
-        F.when(k <= low, F.lit(1.0))
-        .when(k > high, F.lit(0.0))
-        .when(k > mode, upper)
-        .otherwise(1.0 - lower)
+        F.when(k <= low, F.lit(1.0)).when(k > high, F.lit(0.0))
+        .when(above, total).otherwise(1.0 - total)
     )
     return F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0))

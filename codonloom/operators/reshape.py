@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def split_list(c, sep: str = ",") -> Column:
     """Trimmed, non-empty members of a delimited text."""
     text = F.col(c) if isinstance(c, str) else c
-    parts = F.transform(F.split(text, r"\Q" + sep + r"\E"), F.trim)
+    parts = F.transform(F.split(text, r"\Q" + sep + r"\E"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 

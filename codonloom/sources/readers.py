@@ -25,8 +25,13 @@ def read_tsv(spark: SparkSession, path, schema: T.StructType, header: bool = Tru
     return read_delimited(spark, path, schema, header=header)
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    return read_delimited(spark, path, schema, sep=",", quote='"')
+def read_csv(spark: SparkSession, path, schema: T.StructType, multiline: bool = False) -> DataFrame:
+    """Quoted CSV. `multiline` allows line breaks in a field; such files are not split."""
+    return (
+        spark.read.schema(schema).option("header", True).option("escape", '"')
+        .option("nullValue", "NA").option("multiLine", multiline).option("mode", "FAILFAST")
+        .csv(path)
+    )
 
 
 def read_row_named(spark: SparkSession, path, schema: T.StructType) -> DataFrame:

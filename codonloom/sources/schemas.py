@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType()}
+
+
 def fields(**columns: str) -> T.StructType:
     """Schema from `name="type"` pairs, in order."""
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in columns.items()])
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in columns.items()])
 
 
 # The process categories of the hallmark lookup, plus the missing one.
