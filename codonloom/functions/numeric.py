@@ -5,10 +5,15 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MISSING_MARKS = ("-", ".", "NA", "")
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -20,9 +25,19 @@ def finite(c) -> Column:
     return F.when(~bad, x)
 
 
+def parsed(c) -> Column:
+    """Number in a text, null when it is not one; `NaN` and `Infinity` come through.
+
+    The usual marks of a missing score are tested first, because a failed cast costs many
+    times a successful one.
+    """
+    text = F.trim(_col(c))
+    return F.when(~text.isin(*MISSING_MARKS), text.try_cast("double"))
+
+
 def to_number(c) -> Column:
-    """Number in a text, null when it is not one."""
-    return finite(F.trim(_col(c)).try_cast("double"))
+    """Finite number in a text, null when it is not one."""
+    return finite(parsed(c))
 
 
 def row_mean(cols) -> Column:
@@ -38,65 +53,58 @@ def indicator(condition: Column) -> Column:
     return condition.cast("int")
 
 
-def log_factorial(n) -> Column:
-    """ln(n!), exact table up to 20 and Stirling's series above it."""
-    n = _col(n)
-    x = n.cast("double")
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln(n!): exact up to 20, Stirling's series above."""
+    exact = np.log(np.array([float(math.factorial(i)) for i in range(21)]))
+    x = np.maximum(n, 20.0)
     series = (
-        x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x)
-        + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    )
-    exact = F.log(F.factorial(n.cast("int")).cast("double"))
-    return F.when(n <= 20, exact).otherwise(series)
-
-
-def _probability(i: Column, n: Column, m: Column, universe: Column) -> Column:
-    lf = log_factorial
-    return F.exp(
-        lf(m) - lf(i) - lf(m - i)
-        + lf(universe - m) - lf(n - i) - lf(universe - m - n + i)
-        - lf(universe) + lf(n) + lf(universe - n)
+        x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x)
+        + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
     )
+    return np.where(n <= 20, exact[np.clip(n, 0, 20).astype(int)], series)
 
 
-def hypergeometric_tail(k, n, m, universe) -> Column:
+def upper_tail(k: np.ndarray, n: np.ndarray, m: np.ndarray, universe: np.ndarray) -> np.ndarray:
     """P(X >= k) for `n` draws without replacement from `universe` with `m` marked.
 
     The sum runs away from the mode, so one logarithm-based term starts it and each next
     term is a ratio of the last: above the mode it adds P(k), P(k+1), ...; at or below it
-    the complement P(k-1), P(k-2), ... is summed instead.
+    the complement P(k-1), P(k-2), ... is summed instead. A row stops when its next term
+    no longer changes its sum.
     """
-    k, n, m, universe = (_col(c).cast("long") for c in (k, n, m, universe))
-    low = F.greatest(F.lit(0).cast("long"), n + m - universe)
-    high = F.least(n, m)
-    mode = F.floor((n + 1) * (m + 1) / (universe + 2))
     rest = universe - m - n
-    empty = F.array().cast("array<bigint>")
-
-    above = k > mode
+    low, high = np.maximum(0.0, -rest), np.minimum(n, m)
+    above = k > np.floor((n + 1) * (m + 1) / (universe + 2))
+    i = np.clip(np.where(above, k, k - 1), low, high)
+    lf = _log_factorial
+    term = np.exp(
+        lf(m) - lf(i) - lf(m - i) + lf(universe - m) - lf(n - i) - lf(rest + i)
+        - lf(universe) + lf(n) + lf(universe - n)
+    )
+    total = term.copy()
+    while True:
+        more = np.where(above, i < high, i > low) & (total + term != total)
+        if not more.any():
+            break
+        up = (m - i) * (n - i) / ((i + 1) * (rest + i + 1))
+        down = i * (rest + i) / np.maximum((m - i + 1) * (n - i + 1), 1.0)
+        term = np.where(more, term * np.where(above, up, down), 0.0)
+        total = total + term
+        i = i + np.where(above, 1.0, -1.0)
+    tail = np.where(above, total, 1.0 - total)
+    return np.clip(np.where(k <= low, 1.0, np.where(k > high, 0.0, tail)), 0.0, 1.0)
 
-    def double(c: Column) -> Column:
-        return c.cast("double")
 
-    def ratio(i: Column) -> Column:
-        up = double(m - i) * double(n - i) / (double(i + 1) * double(rest + i + 1))
-        down = double(i) * double(rest + i) / (double(m - i + 1) * double(n - i + 1))
-        return F.when(above, up).otherwise(down)
+def hypergeometric_tail(k, n, m, universe) -> Column:
+    """`upper_tail` over columns of counts.
 
-    def add(acc: Column, i: Column) -> Column:
-        term = acc["term"] * ratio(i)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+    Arrow batches: the tail is a loop over whole vectors here, which is far faster than
+    stepping a higher-order function through every row.
+    """
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, n: pd.Series, m: pd.Series, universe: pd.Series) -> pd.Series:
+        arrays = [x.to_numpy(dtype=float) for x in (k, n, m, universe)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return pd.Series(upper_tail(*arrays))
 
-    first = _probability(F.when(above, k).otherwise(k - 1), n, m, universe)
-    steps = (
-        F.when(above & (k < high), F.sequence(k, high - 1))
-        .when(~above & (k - 1 > low), F.sequence(k - 1, low + 1))
-        .otherwise(empty)
-    )
-    total = F.aggregate(
-        steps, F.struct(first.alias("term"), first.alias("total")), add, lambda acc: acc["total"])
-    tail = (
-        F.when(k <= low, F.lit(1.0)).when(k > high, F.lit(0.0))
-        .when(above, total).otherwise(1.0 - total)
-    )
-    return F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0))
+    return tail(_col(k), _col(n), _col(m), _col(universe))

@@ -61,7 +61,8 @@ def between(c, left: str, right: str) -> Column:
 
 def in_parentheses(c) -> Column:
     """`benign(0.05)` -> `0.05`; text without parentheses passes through."""
-    return F.regexp_replace(_col(c), r".*\((.*)\).*", "$1")
+    text = _col(c)
+    return F.when(F.contains(text, F.lit("(")), F.regexp_replace(text, r".*\((.*)\).*", "$1")).otherwise(text)
 
 
 def paste(*cols, sep: str = "") -> Column:

@@ -39,6 +39,6 @@ def partner_strings(pairs: DataFrame, part_size: int = 10_000) -> DataFrame:
 
 def query_groups(pairs: DataFrame) -> DataFrame:
     """(group, gene) rows: each gene together with all of its partners."""
-    partners = pairs.select(F.col("gene").alias("group"), F.col("partner").alias("gene"))
-    own = pairs.select(F.col("gene").alias("group"), F.col("gene"))
-    return partners.unionByName(own).distinct()
+    members = F.explode(F.array("partner", "gene"))
+    return pairs.select(F.col("gene").alias("group"), members.alias("member")).distinct().select(
+        "group", F.col("member").alias("gene"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonloom.functions.numeric import row_mean, to_number
+from codonloom.functions.numeric import finite, parsed, row_mean
 from codonloom.functions.text import in_parentheses
 from codonloom.operators.summarize import max_per_key
 
@@ -21,9 +21,9 @@ def rank_columns(*frames: DataFrame) -> list[str]:
 def numeric_scores(df: DataFrame, columns) -> DataFrame:
     """Scores as numbers; the PolyPhen number stands in parentheses."""
     def number(c: str):
-        return to_number(in_parentheses(c) if c.lower() == "polyphen" else c)
+        return parsed(in_parentheses(c) if c.lower() == "polyphen" else c)
 
-    return df.withColumns({c: number(c) for c in columns})
+    return df.withColumns({c: number(c) for c in columns}).withColumns({c: finite(c) for c in columns})
 
 
 def variant_scores(raw: DataFrame, ranks=None) -> DataFrame:

@@ -15,6 +15,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM never compiles a method of more than 8000 bytecodes: past that, a stage over
+    # dozens of columns runs faster as separate operators, whose code is split into methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
