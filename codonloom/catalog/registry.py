@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codonloom.catalog.views import VIEWS, Tables, view_sql
 
 _MODULES = ("shaping", "joining", "counting", "ranking", "reshaping", "enriching", "assembling",
-            "files", "balancing", "judging")
+            "files", "balancing", "judging", "learning")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 # Named intermediate results that several SQL texts share.

@@ -44,7 +44,7 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
     @keyword_only
     def __init__(self, *, inputCol="features", outputCol="kernel_features", gamma=0.01, size=256, seed=SEED):
         super().__init__()
-        self._setDefault(gamma=0.01, size=256, seed=SEED)
+        self._setDefault(inputCol="features", outputCol="kernel_features", gamma=0.01, size=256, seed=SEED)
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:

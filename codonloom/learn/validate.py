@@ -23,17 +23,20 @@ def evaluator(score_column: str = "rawPrediction") -> BinaryClassificationEvalua
 
 def tune(recipe: Recipe, data: DataFrame, k: int = 10, fold: str = "fold",
          parallelism: int = 4) -> CrossValidatorModel:
-    """Grid search by mean ROC area over given folds."""
+    """Grid search by mean ROC area over given folds, keeping the model of every fold."""
     search = CrossValidator(
         estimator=recipe.pipeline, estimatorParamMaps=recipe.grid, numFolds=k, foldCol=fold,
-        evaluator=evaluator(recipe.score_column), parallelism=parallelism)
+        evaluator=evaluator(recipe.score_column), parallelism=parallelism, collectSubModels=True)
     return search.fit(data)
 
 
+def best_setting(tuned: CrossValidatorModel) -> int:
+    """Position in the grid of the largest mean area."""
+    return max(range(len(tuned.avgMetrics)), key=lambda i: tuned.avgMetrics[i])
+
+
 def best_params(recipe: Recipe, tuned: CrossValidatorModel) -> dict:
-    """The grid entry with the largest mean area."""
-    best = max(range(len(recipe.grid)), key=lambda i: tuned.avgMetrics[i])
-    return recipe.grid[best]
+    return recipe.grid[best_setting(tuned)]
 
 
 def named_params(params: dict) -> dict[str, str]:
@@ -59,14 +62,18 @@ def score(model, recipe: Recipe, data: DataFrame, keep, label: str | None = None
         *keep, *observed, F.when(F.col("score") >= cut, positive).otherwise(negative).alias("pred"), "score")
 
 
-def out_of_fold(recipe: Recipe, params: dict, data: DataFrame, keep, label: str, k: int = 10,
+def out_of_fold(recipe: Recipe, tuned: CrossValidatorModel, data: DataFrame, keep, label: str,
                 fold: str = "fold", levels=LEVELS) -> DataFrame:
-    """Held-out predictions of one setting: every row exactly once."""
-    def held_out(i: int) -> DataFrame:
-        model = recipe.pipeline.fit(data.filter(F.col(fold) != i), params)
-        return score(model, recipe, data.filter(F.col(fold) == i), [*keep, fold], label, levels)
+    """Held-out predictions of the best setting: every row exactly once.
 
-    return reduce(lambda a, b: a.unionByName(b), [held_out(i) for i in range(k)])
+    The search already trained that setting without each fold, so nothing is fitted again.
+    """
+    best = best_setting(tuned)
+    parts = [
+        score(models[best], recipe, data.filter(F.col(fold) == i), [*keep, fold], label, levels)
+        for i, models in enumerate(tuned.subModels)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def save(model: PipelineModel, path: str) -> None:
