@@ -137,7 +137,7 @@ def _(t):
 
 @query("competitor_join", """
     select p.Hugo_Symbol, p.Mutation, case when p.label = 'Non-neutral' then 'driver' else 'passenger' end as label,
-      round(c.score, 6) as competitor_score from bench_positions p join competitor_rows c
+      round(c.score, 9) as competitor_score from bench_positions p join competitor_rows c
       on p.Chromosome = substring(c.Chrom, 4) and p.Start_Position = cast(c.Position as varchar)
       and p.Reference_Allele = c.Ref_Base and p.Alternative_Allele = c.Alt_Base
     where p.label is not null and c.score is not null""")
@@ -145,4 +145,4 @@ def _(t):
     positions = assemble.benchmark_positions(t("bench_mutations"), t("coordinate_rows"))
     scored = assemble.with_competitor_score(positions, t("competitor_rows"))
     return assemble.recode_benchmark_label(scored).select(
-        "Hugo_Symbol", "Mutation", "label", F.round("competitor_score", 6).alias("competitor_score"))
+        "Hugo_Symbol", "Mutation", "label", F.round("competitor_score", 9).alias("competitor_score"))

@@ -146,7 +146,7 @@ VIEWS: dict[str, str] = {
     "predictions": """
         select o_orderkey as row_id, case when o_orderstatus = 'F' then 'driver' else 'passenger' end as obs,
           case when o_totalprice >= 250000 then 'driver' else 'passenger' end as pred,
-          round(o_totalprice / 600000, 3) as score, (o_custkey % 97) / cast(97 as double) as rival,
+          floor(o_totalprice / 600) / 1000 as score, (o_custkey % 97) / cast(97 as double) as rival,
           cast(o_orderkey % 10 as int) as fold
         from {orders}""",
     "labelled_docs": """
