@@ -38,7 +38,12 @@ def partner_strings(pairs: DataFrame, part_size: int = 10_000) -> DataFrame:
 
 
 def query_groups(pairs: DataFrame) -> DataFrame:
-    """(group, gene) rows: each gene together with all of its partners."""
-    members = F.explode(F.array("partner", "gene"))
-    return pairs.select(F.col("gene").alias("group"), members.alias("member")).distinct().select(
-        "group", F.col("member").alias("gene"))
+    """(group, gene) rows: each gene together with all of its partners.
+
+    Pairs are distinct already, so only a pair of a gene with itself could repeat the
+    gene's own row.
+    """
+    partners = pairs.filter(F.col("gene") != F.col("partner")).select(
+        F.col("gene").alias("group"), F.col("partner").alias("gene"))
+    own = pairs.select("gene").distinct().select(F.col("gene").alias("group"), "gene")
+    return partners.unionByName(own)

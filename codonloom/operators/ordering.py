@@ -46,8 +46,9 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], by=(), slices:
     by = list(by)
     cuts = [i / slices for i in range(1, slices)]
     edges = df.agg(F.percentile_approx(order, cuts, 10000).alias("edges")).scalar()
-    sliced = df.withColumn("_edges", edges).withColumn(
-        "_slice", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    # Never null, or the join below would have the slice computed for every input row.
+    above_edges = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(order))), F.lit(0))
+    sliced = df.withColumn("_edges", edges).withColumn("_slice", above_edges).drop("_edges")
     totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     above = Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)

@@ -14,35 +14,34 @@ _DIGITS = 4
 def undersample(df: DataFrame, label: str, id_columns, levels=CLASSES, seed: int = 0) -> DataFrame:
     """Keep as many rows of each class as the smallest class has.
 
-    The rows kept are those with the lowest seeded hash. A histogram over the leading
-    hash digits finds, per class, the slice in which the last kept row lies: slices before
-    it pass whole and only the rows of that slice are ranked. The cut table has one row
-    per entry of `levels`, which is what bounds the broadcast.
+    The rows kept are those with the lowest seeded hash of their (unique) id. A histogram
+    over the leading hash digits finds, per class, the slice in which the last kept row
+    lies; ranking that slice alone finds the last kept hash. Both passes read ids and
+    labels only, and the full rows are then filtered without moving. The cut tables have
+    one row per entry of `levels`, which is what bounds the broadcasts.
     """
-    rows = (
-        df.filter(F.col(label).isin(*levels))
-        .withColumn("_hash", hash_order(id_columns, seed))
-        .withColumn("_slice", F.substring("_hash", 1, _DIGITS))
-    )
-    sizes = rows.groupBy(label, "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    upto = F.sum("_size").over(Window.partitionBy(label).orderBy("_slice"))
-    running = sizes.withColumn("_upto", upto)
+    ids = list(id_columns)
+    rows = df.filter(F.col(label).isin(*levels)).withColumn("_hash", hash_order(ids, seed))
+    keys = rows.select(label, *ids, "_hash", F.substring("_hash", 1, _DIGITS).alias("_slice"))
+    sizes = keys.groupBy(label, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     smallest = sizes.groupBy(label).agg(F.sum("_size").alias("_n")).agg(F.min("_n").alias("n")).scalar()
-    cuts = (
-        running.withColumn("_keep", smallest).filter(F.col("_upto") >= F.col("_keep"))
+    upto = F.sum("_size").over(Window.partitionBy(label).orderBy("_slice"))
+    slices = (
+        sizes.withColumn("_upto", upto).withColumn("_keep", smallest)
+        .filter(F.col("_upto") >= F.col("_keep"))
         .groupBy(label).agg(
-            F.min("_slice").alias("_cut"),
+            F.min("_slice").alias("_slice"),
             F.min_by(F.col("_keep") - F.col("_upto") + F.col("_size"), F.col("_slice")).alias("_need"),
         )
     )
-    marked = rows.join(F.broadcast(cuts), label)
-    whole = marked.filter(F.col("_slice") < F.col("_cut"))
-    order = Window.partitionBy(label).orderBy("_hash", *id_columns)
+    order = Window.partitionBy(label).orderBy("_hash", *ids)
     last = (
-        marked.filter(F.col("_slice") == F.col("_cut"))
-        .withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= F.col("_need"))
+        keys.join(F.broadcast(slices), [label, "_slice"])
+        .withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") == F.col("_need"))
+        .select(label, F.struct("_hash", *ids).alias("_last"))
     )
-    return whole.select(*df.columns).unionByName(last.select(*df.columns))
+    kept = rows.join(F.broadcast(last), label).filter(F.struct("_hash", *ids) <= F.col("_last"))
+    return kept.select(*df.columns)
 
 
 def stratified_fraction(df: DataFrame, label: str, id_columns, fraction: float, seed: int = 0) -> DataFrame:
