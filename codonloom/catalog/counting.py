@@ -122,3 +122,14 @@ def _(t):
 def _(t):
     columns = ["l_quantity", "l_discount", "l_tax"]
     return summarize.deviations(t("lineitem"), columns).select(*[F.round(c, 6).alias(c) for c in columns])
+
+
+_SUMMARY = """select '{c}' as "column", count({c}) as n, count(*) - count({c}) as n_missing, min({c}) as minimum,
+    round(avg({c}), 6) as mean, max({c}) as maximum from parsed_scores"""
+
+
+@query("column_summary", " union all ".join(_SUMMARY.format(c=c) for c in ("SIFT", "PolyPhen", "Condel")))
+def _(t):
+    columns = ("SIFT", "PolyPhen", "Condel")
+    summary = summarize.numeric_summary(numeric_scores(t("score_rows"), columns), columns)
+    return summary.select("column", "n", "n_missing", "minimum", F.round("mean", 6).alias("mean"), "maximum")

@@ -8,6 +8,7 @@ from codonloom.catalog.counting import pairs
 from codonloom.catalog.registry import STEPS, query
 from codonloom.operators import enrich, graph
 from codonloom.plans.assemble import process_flags
+from codonloom.session import stage
 from codonloom.sources.readers import gene_sets
 from codonloom.sources.schemas import NO_CATEGORY, PROCESS_CATEGORIES, snake
 
@@ -122,4 +123,4 @@ def _(t):
 
 @query("process_flags", 'select grp as "group", * exclude (grp) from group_flags')
 def _(t):
-    return process_flags(pairs(t), _sets(t), t("hallmarks"))
+    return process_flags(stage(pairs(t), "pairs"), _sets(t), t("hallmarks"))

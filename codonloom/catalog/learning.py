@@ -13,6 +13,7 @@ from codonloom.learn import importance, neighbors, validate
 from codonloom.learn.encode import alphabetical_levels, feature_stages, label_stage
 from codonloom.learn.evaluate import auc, fold_summary
 from codonloom.learn.models import recipes
+from codonloom.operators.ordering import sort_by_importance
 from codonloom.operators.sampling import assign_folds, undersample
 from codonloom.plans.report import balanced, train_and_report
 from codonloom.session import scratch_path, stage
@@ -180,7 +181,7 @@ def _(t):
     recipe = recipes(label=LABEL, levels=("0", "1"))["random_forest"]
     model = recipe.pipeline.fit(data, recipe.grid[0])
     ranked = importance.impurity_importance(t.spark, model, (*NUMERIC_FEATURES, *BINARY_FEATURES))
-    return importance.with_feature_level(ranked, importance.feature_levels(t.spark))
+    return sort_by_importance(importance.with_feature_level(ranked, importance.feature_levels(t.spark)))
 
 
 @query("evaluation_report")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
@@ -16,10 +16,10 @@ def nearest(train: DataFrame, test: DataFrame, k: int, features: str = "features
     """The k closest training rows of every test row, ties by training id.
 
     Both sides are hashed into blocks of about `block_rows` rows. Each pair of blocks is
-    one task-sized matrix product that returns k rows per test row, and a second pass
-    merges those short lists, so neither side is ever held whole anywhere and distances
+    one task-sized matrix product that returns k rows per test row, and a ranked window
+    with a limit merges those rows, so neither side is ever held whole anywhere and distances
     are never emitted. `features` is an array of doubles, `row_id` a bigint, `label` 0/1.
-    Output: (row_id, rank, distance, neighbor, neighbor_label).
+    Output: (row_id, distance, neighbor, neighbor_label, rank).
     """
     def blocks(df: DataFrame):
         rows = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(1)).alias("n"))
@@ -56,10 +56,8 @@ def nearest(train: DataFrame, test: DataFrame, k: int, features: str = "features
 
     schema = "row_id bigint, distance double, neighbor bigint, neighbor_label int"
     short = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(closest, schema)
-    found = F.struct("distance", "neighbor", "neighbor_label")
-    merged = short.groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list(found)), 1, k).alias("found"))
-    return merged.select("row_id", F.posexplode("found").alias("pos", "n")).select(
-        "row_id", (F.col("pos") + 1).alias("rank"), "n.distance", "n.neighbor", "n.neighbor_label")
+    closest_first = Window.partitionBy("row_id").orderBy("distance", "neighbor")
+    return short.withColumn("rank", F.row_number().over(closest_first)).filter(F.col("rank") <= k)
 
 
 def neighbor_scores(neighbors: DataFrame, k: int) -> DataFrame:

@@ -66,3 +66,19 @@ def nullify_nonfinite(df: DataFrame, columns) -> DataFrame:
 def deviations(df: DataFrame, columns) -> DataFrame:
     """Sample standard deviation of every column, in one row."""
     return df.agg(*[F.stddev_samp(c).alias(c) for c in columns])
+
+
+def numeric_summary(df: DataFrame, columns) -> DataFrame:
+    """Per column: present and missing values, minimum, quartiles, mean, maximum.
+
+    Quartiles come from a mergeable sketch that is exact below 10,000 rows.
+    """
+    columns = list(columns)
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    quarter = F.percentile_approx("value", [0.25, 0.5, 0.75], 10000)
+    table = long.groupBy("column").agg(
+        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"),
+        F.min("value").alias("minimum"), quarter.alias("_q"), F.avg("value").alias("mean"),
+        F.max("value").alias("maximum"))
+    quartiles = [F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(("q1", "median", "q3"))]
+    return table.select("column", "n", "n_missing", "minimum", *quartiles, "mean", "maximum")

@@ -14,6 +14,7 @@ from codonloom.operators.ordering import first_per_key, sort_genomic
 from codonloom.operators.relate import lookup
 from codonloom.operators.reshape import category_flags, composite, list_to_flags
 from codonloom.operators.scores import variant_scores
+from codonloom.session import stage
 from codonloom.sources import schemas
 
 
@@ -38,7 +39,10 @@ def with_degree(mutations: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def process_flags(pairs: DataFrame, sets: DataFrame, categories: DataFrame) -> DataFrame:
-    """One 0/1 column per process category for each gene, from its group's best term."""
+    """One 0/1 column per process category for each gene, from its group's best term.
+
+    `pairs` is read by three branches: stage it first when it is costly to compute.
+    """
     groups = query_groups(pairs)
     best = best_terms(groups, enrichment(groups, sets, adjusted=False))
     named = term_categories(best, categories)
@@ -87,10 +91,11 @@ def training_table(mutations: DataFrame, edges: DataFrame, id_map: DataFrame, se
     """Mutations with all features and the codon label, complete rows only.
 
     Repeats of a variant collapse before any feature is joined, on the few columns the
-    joins need. Gene tables are keyed by gene id, protein or symbol; partner lists and
-    group texts are never carried along.
+    joins need. The interaction pairs feed four branches and are staged once. Gene tables
+    are keyed by gene id, protein or symbol; partner lists and group texts are never
+    carried along.
     """
-    pairs = interaction_pairs(edges, id_map)
+    pairs = stage(interaction_pairs(edges, id_map), "pairs")
     base = with_variant_key(clean_missense(mutations, distinct=False), "Tumor_Seq_Allele1")
     base = with_codon_key(base).select(
         "Hugo_Symbol", "Entrez_Gene_Id", "SWISSPROT", "variant_key",

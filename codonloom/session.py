@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -28,6 +29,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="codonloom-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for `name` in the shared folder the session names.
 
@@ -38,8 +44,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="codonloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return f"{base.rstrip('/')}/codonloom/{name}-{uuid.uuid4().hex}"
 
 

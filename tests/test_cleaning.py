@@ -190,3 +190,9 @@ def test_row_steps_run_on_a_stream(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert spark.read.parquet(sink).count() == 1
+
+
+def test_numeric_summary(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "x double")
+    got = summarize.numeric_summary(df, ["x"]).first()
+    assert (got.n, got.n_missing, got.minimum, got.median, got["mean"], got.maximum) == (4, 1, 1.0, 2.0, 2.5, 4.0)

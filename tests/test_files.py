@@ -1,5 +1,7 @@
 """Readers and writers."""
 
+from types import SimpleNamespace
+
 import pytest
 
 from codonloom.session import scratch_path, stage
@@ -69,6 +71,16 @@ def test_stage_uses_the_named_folder(spark):
     assert staged.inputFiles()[0].removeprefix("file://").startswith(base) and staged.count() == 3
 
 
+def test_folder_when_none_is_named():
+    def session(master):
+        return SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master))
+
+    first, second = scratch_path(session("local[2]"), "x"), scratch_path(session("local[2]"), "x")
+    assert first != second and "codonloom-" in first
+    with pytest.raises(RuntimeError):
+        scratch_path(session("spark://host:7077"), "x")
+
+
 def test_final_table_shape():
     assert len(schemas.ALL_FEATURES) == 51 and len(schemas.GENE_FEATURES) == 47
     assert len(schemas.NUMERIC_FEATURES) == 29 and len(schemas.BINARY_FEATURES) == 22
