@@ -53,7 +53,7 @@ def _(t):
 
 
 @query("row_named_round_trip", """
-    select row_number() over (order by md5('0|' || Hallmark_name)) as row_no, Hallmark_name, Process_category, Description,
+    select cast(row_number() over (order by md5('0|' || Hallmark_name)) as int) as row_no, Hallmark_name, Process_category, Description,
       Number_of_founder_sets, Number_of_founder_sets * 2 as Number_of_genes from hallmarks""")
 def _(t):
     path = scratch_path(t.spark, "row-named")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codonloom.functions.text import codon_key, split_pair
 from codonloom.operators.clean import recode_presence
+from codonloom.operators.relate import spread_join
 from codonloom.sources.schemas import LABEL
 
 
@@ -26,8 +27,6 @@ def label_by_codon(df: DataFrame, labels: DataFrame, dedup: bool = True, key: st
 
     A codon listed twice would repeat its mutations; `dedup` lists each codon once.
     """
-    listed = labels.select(F.col("driver_mutation"))
-    if dedup:
-        listed = listed.distinct()
-    joined = df.join(listed, F.col(key) == F.col("driver_mutation"), "left")
-    return recode_presence(joined, "driver_mutation", LABEL).drop("driver_mutation")
+    listed = labels.select("driver_mutation", F.lit(1).alias("_listed"))
+    joined = spread_join(df, listed.distinct() if dedup else listed, key, "driver_mutation", "left")
+    return recode_presence(joined, "_listed", LABEL).drop("_listed")

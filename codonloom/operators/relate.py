@@ -32,6 +32,25 @@ def merge(x: DataFrame, y: DataFrame, by_x, by_y=None, how: str = "inner",
     return joined.drop(*[f"_key{i}" for i in range(len(by_y))])
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, right_key: str, how: str = "inner",
+                small_rows: int = 200_000, salts: int = 32) -> DataFrame:
+    """Join with a table of few rows per key, whatever share of `left` one key holds.
+
+    Spark's own splitting of hot keys does not reach a join whose right side is an
+    aggregate on the key. So: a right side counted to hold at most `small_rows` rows is
+    broadcast; a larger one is copied once per salt and `left` is spread over the salts by
+    a hash of its rows. The count reads `right`, so stage it when it is costly. The right
+    key is not kept.
+    """
+    right = right.withColumnRenamed(right_key, "_key")
+    if right.limit(small_rows + 1).count() <= small_rows:
+        return left.join(F.broadcast(right), F.col(key) == F.col("_key"), how).drop("_key")
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_copy"))
+    return salted.join(copies, same, how).drop("_key", "_copy", "_salt")
+
+
 def natural_join(x: DataFrame, y: DataFrame, how: str = "inner") -> DataFrame:
     """Join on every shared column name; missing matches missing."""
     shared = [c for c in x.columns if c in set(y.columns)]
@@ -53,13 +72,13 @@ def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, how: str =
 def with_membership(df: DataFrame, column: str, members: DataFrame, member: str, target: str) -> DataFrame:
     """1 where the value occurs in `members`, else 0."""
     known = members.select(F.col(member).alias("_member")).distinct().withColumn("_hit", F.lit(1))
-    joined = df.join(known, F.col(column) == F.col("_member"), "left")
-    return joined.withColumn(target, F.coalesce("_hit", F.lit(0))).drop("_member", "_hit")
+    joined = spread_join(df, known, column, "_member", "left")
+    return joined.withColumn(target, F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
 def drop_listed(df: DataFrame, listed: DataFrame, keys) -> DataFrame:
     """Rows whose keys are not in `listed`."""
-    return df.join(listed.select(*keys).distinct(), list(keys), "left_anti")
+    return df.join(listed.select(*keys), list(keys), "left_anti")
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

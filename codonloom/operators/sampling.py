@@ -44,11 +44,14 @@ def undersample(df: DataFrame, label: str, id_columns, levels=CLASSES, seed: int
     return kept.select(*df.columns)
 
 
-def stratified_fraction(df: DataFrame, label: str, id_columns, fraction: float, seed: int = 0) -> DataFrame:
+def stratified_fraction(df: DataFrame, label: str, id_columns, fraction: float, levels=CLASSES,
+                        seed: int = 0) -> DataFrame:
     """The rounded `fraction` of each class, exactly."""
-    ranked = hash_rank(df, id_columns, by=[label], seed=seed, name="_nth")
-    sizes = df.groupBy(label).agg(F.bround(F.count(F.lit(1)) * F.lit(fraction)).alias("_quota"))
-    return ranked.join(sizes, label).filter(F.col("_nth") <= F.col("_quota")).select(*df.columns)
+    rows = df.filter(F.col(label).isin(*levels))
+    ranked = hash_rank(rows, id_columns, by=[label], seed=seed, name="_nth")
+    quotas = rows.groupBy(label).agg(F.bround(F.count(F.lit(1)) * F.lit(fraction)).alias("_quota"))
+    # One row per entry of `levels`.
+    return ranked.join(F.broadcast(quotas), label).filter(F.col("_nth") <= F.col("_quota")).select(*df.columns)
 
 
 def assign_folds(df: DataFrame, label: str, id_columns, k: int = 10, seed: int = 0,

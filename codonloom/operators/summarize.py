@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonloom.functions.numeric import finite
+from codonloom.operators.relate import spread_join
 
 
 def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
@@ -49,7 +50,8 @@ def member_strings(pairs: DataFrame, key: str, member: str, part_size: int = 10_
     unique = pairs.select(key, member).distinct()
     sizes = unique.groupBy(key).agg(F.count(F.lit(1)).alias("times"))
     parts = F.ceil(F.col("times") / part_size)
-    spread = unique.join(sizes, key).withColumn("part", F.pmod(F.xxhash64(member), parts))
+    sized = spread_join(unique, sizes.withColumnRenamed(key, "_of"), key, "_of")
+    spread = sized.withColumn("part", F.pmod(F.xxhash64(member), parts))
     joined = F.array_join(F.array_sort(F.collect_list(member)).cast("array<string>"), ",")
     return spread.groupBy(key, "part", "times").agg(joined.alias("members"))
 

@@ -11,7 +11,7 @@ from codonloom.operators.enrich import best_terms, enrichment, term_categories
 from codonloom.operators.graph import degree, interaction_pairs, query_groups
 from codonloom.operators.labels import codon_labels, label_by_codon, with_codon_key
 from codonloom.operators.ordering import first_per_key, sort_genomic
-from codonloom.operators.relate import lookup
+from codonloom.operators.relate import lookup, spread_join
 from codonloom.operators.reshape import category_flags, composite, list_to_flags
 from codonloom.operators.scores import variant_scores
 from codonloom.session import stage
@@ -34,8 +34,8 @@ def clean_missense(mutations: DataFrame, distinct: bool = True) -> DataFrame:
 
 def with_degree(mutations: DataFrame, pairs: DataFrame) -> DataFrame:
     """Interaction degree of each mutation's gene; genes without partners drop out."""
-    counts = degree(pairs).withColumnRenamed("times", schemas.DEGREE)
-    return mutations.join(counts, F.col("Entrez_Gene_Id") == F.col("gene")).drop("gene")
+    counts = stage(degree(pairs).withColumnRenamed("times", schemas.DEGREE), "degree")
+    return spread_join(mutations, counts, "Entrez_Gene_Id", "gene")
 
 
 def process_flags(pairs: DataFrame, sets: DataFrame, categories: DataFrame) -> DataFrame:
@@ -91,20 +91,21 @@ def training_table(mutations: DataFrame, edges: DataFrame, id_map: DataFrame, se
     """Mutations with all features and the codon label, complete rows only.
 
     Repeats of a variant collapse before any feature is joined, on the few columns the
-    joins need. The interaction pairs feed four branches and are staged once. Gene tables
-    are keyed by gene id, protein or symbol; partner lists and group texts are never
-    carried along.
+    joins need; after that only genes and proteins can be hot keys, and those joins are
+    spread. The interaction pairs feed four branches and are staged once. Partner lists
+    and group texts are never carried along.
     """
     pairs = stage(interaction_pairs(edges, id_map), "pairs")
     base = with_variant_key(clean_missense(mutations, distinct=False), "Tumor_Seq_Allele1")
     base = with_codon_key(base).select(
         "Hugo_Symbol", "Entrez_Gene_Id", "SWISSPROT", "variant_key",
         F.col("codon_id").alias("mutation")).distinct()
-    table = with_degree(base, pairs)
-    flags = process_flags(pairs, sets, categories)
-    table = table.join(flags, F.col("Entrez_Gene_Id") == F.col("group")).drop("group")
-    table = table.join(modification_flags(sheet, key), F.col("SWISSPROT") == F.col("ACC")).drop("ACC")
-    table = lookup(table, ratio_features(ratios), "Hugo_Symbol", "gene")
+    genes = degree(pairs).withColumnRenamed("times", schemas.DEGREE).join(
+        process_flags(pairs, sets, categories), F.col("gene") == F.col("group")).drop("group")
+    table = spread_join(base, stage(genes, "genes"), "Entrez_Gene_Id", "gene")
+    proteins = stage(modification_flags(sheet, key), "proteins")
+    table = spread_join(table, proteins, "SWISSPROT", "ACC")
+    table = spread_join(table, ratio_features(ratios), "Hugo_Symbol", "gene", "left")
     table = lookup(table, variant_scores(raw_scores), "variant_key", "Uploaded_variation")
     table = label_by_codon(table, codon_labels(hotspots), dedup, key="mutation")
     return clean.complete_rows(
@@ -147,7 +148,7 @@ def with_gene_ids(positions: DataFrame, protein_map: DataFrame, id_map: DataFram
     accessions = first_accession(protein_map)
     ids = accessions.join(id_map, F.col("Entry") == F.col("From"), "left").select(
         "symbol", F.col("Entry").alias("UniProt_ID"), F.col("To").alias("Entrez_Gene_ID"))
-    return positions.join(ids, F.col("Hugo_Symbol") == F.col("symbol"), "left").drop("symbol")
+    return spread_join(positions, ids, "Hugo_Symbol", "symbol", "left")
 
 
 def competitor_request(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codonloom.functions.numeric import upper_tail
 from codonloom.learn import evaluate, neighbors
-from codonloom.operators import enrich, ordering, sampling, summarize
+from codonloom.operators import enrich, ordering, relate, sampling, summarize
 
 
 @pytest.fixture(scope="module")
@@ -70,7 +70,7 @@ def test_folds_are_even_and_repeatable(skewed):
 
 
 def test_stratified_fraction(skewed):
-    part = sampling.stratified_fraction(skewed, "g", ["row_id"], 0.25)
+    part = sampling.stratified_fraction(skewed, "g", ["row_id"], 0.25, ("hot", "cold"))
     assert {r.g: r["count"] for r in part.groupBy("g").count().collect()} == {"hot": 500, "cold": 250}
 
 
@@ -149,3 +149,12 @@ def test_neighbors_against_brute_force(spark, block_rows):
     expected = np.argsort(((y[:, None, :] - x[None, :, :]) ** 2).sum(2), axis=1)[:, :3]
     assert found == {i: list(map(int, e)) for i, e in enumerate(expected)}
     assert neighbors.neighbor_scores(got, 3).count() == 25
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_broadcast(spark, skewed, how):
+    table = spark.createDataFrame([("hot", 1), ("hot", 2), ("other", 3)], "k string, v int")
+    plain = relate.spread_join(skewed, table, "g", "k", how)
+    salted = relate.spread_join(skewed, table, "g", "k", how, small_rows=0, salts=8)
+    assert plain.count() == (4000 if how == "inner" else 5000) and plain.columns == salted.columns
+    assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
