@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,22 +27,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@functools.cache
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="codonloom-")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for `name` in the shared folder the session names.
 
-    Only a local session without ``spark.checkpoint.dir`` falls back to a folder of this
-    machine; a cluster must name shared storage.
+    The folder is ``spark.checkpoint.dir``; where that is unset, the warehouse folder,
+    which a session shares with its executors just as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = _local_base()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/codonloom/{name}-{uuid.uuid4().hex}"
 
 
