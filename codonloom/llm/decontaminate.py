@@ -53,10 +53,10 @@ def _blocks(fp: Column) -> Column:
                      for i in range(BLOCKS)])
 
 
-def counted(shingles: Column) -> Column:
-    """Each element with the number of equal ones before it, so that a set keeps the weights."""
-    ordered = F.array_sort(shingles)
-    return F.transform(ordered, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(ordered, x)).alias("nth")))
+def counted(ordered: str) -> Column:
+    """Each element of a sorted column with the number of equal ones before it, so that a set
+    keeps the weights."""
+    return F.transform(ordered, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(F.col(ordered), x)).alias("nth")))
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
@@ -72,7 +72,9 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     few = (F.col("m") - F.ceil(F.col("m") * F.lit(SIMILARITY) - 1e-9) + 1).cast("int")
     anchors = items.select("m", F.explode(F.slice(F.array_sort("item_shingles"), F.lit(1), few)).alias("anchor")).distinct()
     texts = docs.select("doc_id", "text").filter("text is not null").withColumn("row_hash", F.xxhash64("doc_id", "text"))
-    spots = texts.select("doc_id", "row_hash", F.posexplode(shingles_of(words_of(F.col("text")))).alias("at", "shingle"))
+    # Expressions inside a lambda are computed for every element: split the text before.
+    split = texts.select("doc_id", "row_hash", words_of(F.col("text")).alias("words"))
+    spots = split.select("doc_id", "row_hash", F.posexplode(shingles_of(F.col("words"))).alias("at", "shingle"))
     found = spots.join(anchors, spots["shingle"] == anchors["anchor"]).select("doc_id", "row_hash", "m", "at")
     # The hits of one text, no more of them than it has words.
     per_text = stage(found.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("m", "at")).alias("hits")), "hits")
@@ -98,26 +100,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     spots = windows(docs, items)
     # Equal windows of many documents are compared once; documents come back at the end.
     marked = stage(spots.select("doc_id", "start", F.size("words").alias("n_words"), "words", "shingles").withColumn(
-        "window_hash", F.xxhash64("words")).withColumn("window_hash2", F.md5(F.concat_ws(" ", "words"))), "windows")
-    distinct = marked.groupBy("window_hash2").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles"))
+        "window_hash", F.md5(F.concat_ws(" ", "words"))), "windows")
+    distinct = marked.groupBy("window_hash").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles"))
     printed = stage(distinct.select("*", fingerprint(F.col("shingles")).alias("fp")), "prints")
     listed = items.select("item_id", "item_fp", F.explode(_blocks(F.col("item_fp"))).alias("b")).select(
         "item_id", "item_fp", "b", F.explode(F.lit(_MASKS)).alias("mask")).select(
         "item_id", "item_fp", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask").cast("long")).alias("value"))
-    asked = printed.select("window_hash2", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select(
-        "window_hash2", "fp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
+    asked = printed.select("window_hash", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select(
+        "window_hash", "fp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-    pairs = asked.join(listed, ["block", "value"]).filter(close).select("window_hash2", "item_id").distinct()
+    pairs = asked.join(listed, ["block", "value"]).filter(close).select("window_hash", "item_id").distinct()
 
     def runs(words: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(words) - WIDTH), lambda i: F.concat_ws(" ", F.slice(words, i + 1, WIDTH)))
+        return F.array_sort(F.transform(F.sequence(F.lit(0), F.size(words) - WIDTH), lambda i: F.concat_ws(" ", F.slice(words, i + 1, WIDTH))))
 
-    full = pairs.join(printed.select("window_hash2", "words"), "window_hash2").join(items.select("item_id", "item_words"), "item_id")
-    a, b = counted(runs("words")), counted(runs("item_words"))
-    both = F.size(F.array_intersect(a, b))
-    judged = full.select("window_hash2", "item_id", (both / (F.size("words") + F.size("item_words") - 2 * (WIDTH - 1) - both)).alias("similarity"))
+    full = pairs.join(printed.select("window_hash", "words"), "window_hash").join(items.select("item_id", "item_words"), "item_id")
+    full = full.select("*", runs("words").alias("a"), runs("item_words").alias("b"))
+    full = full.withColumn("both", F.size(F.array_intersect(counted("a"), counted("b"))))
+    both = F.col("both")
+    judged = full.select("window_hash", "item_id", (both / (F.size("words") + F.size("item_words") - 2 * (WIDTH - 1) - both)).alias("similarity"))
     good = stage(judged.filter(F.col("similarity") >= similarity - 1e-12), "verified")
     best = F.max_by(F.struct("start", "n_words"), F.struct("similarity", -F.col("start"), "n_words"))
-    placed = marked.select("doc_id", "start", "n_words", "window_hash2").join(good, "window_hash2")
+    placed = marked.select("doc_id", "start", "n_words", "window_hash").join(good, "window_hash")
     return placed.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("w")).select(
         "doc_id", "item_id", "similarity", F.col("w.start").alias("start"), F.col("w.n_words").alias("n_words"))

@@ -64,42 +64,49 @@ def _scratch(bits: int) -> np.ndarray:
 
 @dataclass
 class LinearModel:
-    """score = sigmoid(slope * (bias + sum of weights / sqrt(features)) + shift)."""
+    """score = sigmoid(slope * (bias + sum of weights) + shift).
+
+    With `by_length` the sum is divided by the root of the number of features.
+    """
 
     weights: np.ndarray
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    by_length: bool = True
 
     def margin(self, bins: np.ndarray) -> float:
-        return self.bias + float(self.weights[bins].sum(dtype=np.float64)) / np.sqrt(max(1, len(bins)))
+        total = float(self.weights[bins].sum(dtype=np.float64))
+        return self.bias + (total / np.sqrt(max(1, len(bins))) if self.by_length else total)
 
     def score(self, bins: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(bins) + self.shift, -30, 30))))
 
 
-def _design(rows: list[np.ndarray], scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _design(rows: list[np.ndarray], scale: np.ndarray, by_length: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers, bins and values of the features with a scale other than zero."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     bins = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    value = scale[bins] / np.sqrt(np.maximum(1, [len(r) for r in rows]))[owner]
+    value = scale[bins] / (np.sqrt(np.maximum(1, [len(r) for r in rows]))[owner] if by_length else 1)
     used = value != 0
     return owner[used], bins[used], value[used]
 
 
-def _logistic(rows, y, scale, l2: float, rounds: int) -> tuple[np.ndarray, float]:
+def _logistic(rows, y, scale, l2: float, rounds: int, by_length: bool) -> tuple[np.ndarray, float]:
     """Weights of the scaled features and bias by accelerated gradient descent."""
-    owner, bins, value = _design(rows, scale)
+    owner, bins, value = _design(rows, scale, by_length)
     names, column = np.unique(bins, return_inverse=True)
     n, d = len(rows), len(names)
-    per_row = np.bincount(owner, value * value, n) + 1
-    step = 4 / (per_row.mean() * 4 + l2)
+    # Steps per feature out of a bound on the curvature, so that rare features keep up.
+    reach = np.bincount(owner, np.abs(value), n) + 1
+    step = 1 / (np.bincount(column, np.abs(value) * reach[owner], d) / (4 * n) + l2 / n)
+    step_b = 4 / reach.mean()
     w, b = np.zeros(d), 0.0
     v, c = w.copy(), b
     for i in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, v[column] * value, n) + c, -30, 30)))
         gap = (p - y) / n
-        w_new, b_new = v - step * (np.bincount(column, gap[owner] * value, d) + l2 * v / n), c - step * gap.sum()
+        w_new, b_new = v - step * (np.bincount(column, gap[owner] * value, d) + l2 * v / n), c - step_b * gap.sum()
         momentum = i / (i + 3)
         v, c = w_new + momentum * (w_new - w), b_new + momentum * (b_new - b)
         w, b = w_new, b_new
@@ -133,8 +140,8 @@ def log_count_ratio(rows, y: np.ndarray, bits: int, smooth: float) -> tuple[np.n
     return np.log(p1 / p0), np.abs(p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, bits: int, *, by_ratio: bool, features: int, l2: float = 1.0,
-        rounds: int = 200, folds: int = 4, smooth: float = 1.0) -> LinearModel:
+def fit(rows: list[np.ndarray], y: np.ndarray, bits: int, *, by_ratio: bool, features: int, by_length: bool = True,
+        l2: float = 1.0, rounds: int = 200, folds: int = 4, smooth: float = 1.0) -> LinearModel:
     """A calibrated classifier over the `features` bins that tell the classes apart best.
 
     `by_ratio` scales every feature by its naive Bayes log-count ratio. Bins are chosen and
@@ -146,21 +153,21 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int, *, by_ratio: bool, fea
     def train(part_rows, part_y):
         ratio, z = log_count_ratio(part_rows, part_y, bits, smooth)
         least = np.partition(z, -features)[-features] if features < len(z) else 0.0
-        scale = np.where((z >= max(least, 1e-9)), ratio if by_ratio else 1.0, 0.0) * np.sqrt(200.0)
-        return _logistic(part_rows, part_y, scale, l2, rounds)
+        scale = np.where((z >= max(least, 1e-9)), ratio if by_ratio else 1.0, 0.0) * np.sqrt(200.0 if by_length else 1.0)
+        return _logistic(part_rows, part_y, scale, l2, rounds, by_length)
 
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
-        return LinearModel(np.zeros(1 << bits, np.float32), float(np.log(share / (1 - share))))
+        return LinearModel(np.zeros(1 << bits, np.float32), float(np.log(share / (1 - share))), by_length=by_length)
     fold, margin = np.arange(len(y)) % folds, np.zeros(len(y))
     for k in range(folds):
         inside = np.flatnonzero(fold != k)
         w, b = train([rows[i] for i in inside], y[inside])
-        held = LinearModel(w, b)
+        held = LinearModel(w, b, by_length=by_length)
         for i in np.flatnonzero(fold == k):
             margin[i] = held.margin(rows[i])
     w, b = train(rows, y)
-    return LinearModel(w.astype(np.float32), b, *_platt(margin, y))
+    return LinearModel(w.astype(np.float32), b, *_platt(margin, y), by_length)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, keep, max_rows: int) -> list[tuple[bytes, int]]:
