@@ -119,7 +119,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     full = full.withColumn("both", F.size(F.array_intersect(counted("a"), counted("b"))))
     both = F.col("both")
     judged = full.select("window_hash", "item_id", (both / (F.size("words") + F.size("item_words") - 2 * (WIDTH - 1) - both)).alias("similarity"))
-    good = stage(judged.filter(F.col("similarity") >= similarity - 1e-12), "verified")
+    # Filtered only once written: a pushed filter would compute the runs inside the lambdas.
+    good = stage(judged, "verified").filter(F.col("similarity") >= similarity - 1e-12)
     best = F.max_by(F.struct("start", "n_words"), F.struct("similarity", -F.col("start"), "n_words"))
     placed = marked.select("doc_id", "start", "n_words", "window_hash").join(good, "window_hash")
     return placed.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("w")).select(
