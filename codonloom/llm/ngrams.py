@@ -46,9 +46,9 @@ def word_grams(words: list[bytes], sizes: tuple[int, ...]) -> np.ndarray:
 
 def distinct_bins(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The distinct leading `bits` bits of the hashes."""
-    bins = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    bins = (hashes >> np.uint64(64 - bits)).astype(np.int32)
     last = _scratch(bits)
-    order = np.arange(len(bins))
+    order = np.arange(len(bins), dtype=np.int32)
     last[bins] = order
     return bins[last[bins] == order]
 
@@ -58,7 +58,7 @@ _SCRATCH: dict[int, np.ndarray] = {}
 
 def _scratch(bits: int) -> np.ndarray:
     if bits not in _SCRATCH:
-        _SCRATCH[bits] = np.empty(1 << bits, np.int64)
+        _SCRATCH[bits] = np.empty(1 << bits, np.int32)
     return _SCRATCH[bits]
 
 
@@ -85,11 +85,13 @@ class LinearModel:
 
 def _design(rows: list[np.ndarray], scale: np.ndarray, by_length: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers, bins and values of the features with a scale other than zero."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bins = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    value = scale[bins] / (np.sqrt(np.maximum(1, [len(r) for r in rows]))[owner] if by_length else 1)
-    used = value != 0
-    return owner[used], bins[used], value[used]
+    used = [r[scale[r] != 0] for r in rows]  # before anything as long as all features is made
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in used])
+    bins = np.concatenate(used) if used else np.zeros(0, np.int32)
+    value = scale[bins]
+    if by_length:
+        value = value / np.sqrt(np.maximum(1, [len(r) for r in rows]))[owner]
+    return owner, bins, value
 
 
 def _logistic(rows, y, scale, l2: float, rounds: int, by_length: bool) -> tuple[np.ndarray, float]:

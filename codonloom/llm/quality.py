@@ -11,7 +11,7 @@ from codonloom.llm.arrow import map_texts
 
 SYMBOLS = b"#*$%&|<>"
 BITS = 18
-MAX_TRAIN_ROWS = 4000
+MAX_TRAIN_ROWS = 3000
 THRESHOLD = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 

@@ -10,7 +10,7 @@ from codonloom.llm import ngrams
 from codonloom.llm.arrow import map_texts
 
 BITS = 20
-MAX_TRAIN_ROWS = 8000
+MAX_TRAIN_ROWS = 5000
 THRESHOLD = 0.7
 
 
