@@ -126,7 +126,7 @@ def _stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 for a, b, g in zip(first[kept].tolist(), last[kept].tolist(), gram[kept].tolist(), strict=True):
                     key, here = (g, text[a:b + LENGTH]), (doc, row, a, b + LENGTH)
                     there = earliest.setdefault(key, here)
-                    if there is not here:
+                    if there != here:  # repeated rows are one document
                         earliest[key] = min(there, here)
                         gone = max(there, here)
                         if spans and spans[-1][:2] == gone[:2] and spans[-1][2] <= gone[2] <= spans[-1][3]:
@@ -185,7 +185,8 @@ def _settle(gathered: DataFrame) -> DataFrame:
         removed, kept = [], []
         for i, key in enumerate(zip(table.column("gram").to_pylist(), table.column("stretch").to_pylist(), strict=True)):
             if seen.setdefault(key, i) != i:
-                removed.append(spans[i])
+                if (spans[i] != spans[seen[key]]).any():
+                    removed.append(spans[i])
             else:
                 kinds[key[0]] = kinds.get(key[0], 0) + 1
                 kept.append(key)
