@@ -28,8 +28,9 @@ def nearest(train: DataFrame, test: DataFrame, k: int, features: str = "features
     n_train, n_test = blocks(train), blocks(test)
 
     def placed(df: DataFrame, own: str, n_own, other: str, n_other, columns) -> DataFrame:
+        # New names on each side: both may come from one table, whose columns Spark would mix up.
         return df.select(
-            *columns, F.pmod(F.xxhash64(row_id), n_own).alias(own),
+            *[F.col(c).alias(f"{own}_{c}") for c in columns], F.pmod(F.xxhash64(row_id), n_own).alias(own),
             F.explode(F.sequence(F.lit(0).cast("long"), n_other.cast("long") - 1)).alias(other))
 
     left = placed(train, "a", n_train, "b", n_test, [row_id, features, label])
@@ -39,7 +40,8 @@ def nearest(train: DataFrame, test: DataFrame, k: int, features: str = "features
         columns = ["row_id", "distance", "neighbor", "neighbor_label"]
         if block.empty or probes.empty:
             return pd.DataFrame(columns=columns)
-        block = block.sort_values(row_id)
+        block = block.set_axis([c.removeprefix("a_") for c in block.columns], axis=1).sort_values(row_id)
+        probes = probes.set_axis([c.removeprefix("b_") for c in probes.columns], axis=1)
         x, y = np.stack(probes[features].to_numpy()), np.stack(block[features].to_numpy())
         ids, labels = block[row_id].to_numpy(), block[label].to_numpy()
         squared = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T

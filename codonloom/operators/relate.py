@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codonloom.session import stage
+
 
 def merge(x: DataFrame, y: DataFrame, by_x, by_y=None, how: str = "inner",
           suffixes: tuple[str, str] = ("_x", "_y"), match_missing: bool = True) -> DataFrame:
@@ -32,23 +34,15 @@ def merge(x: DataFrame, y: DataFrame, by_x, by_y=None, how: str = "inner",
     return joined.drop(*[f"_key{i}" for i in range(len(by_y))])
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, right_key: str, how: str = "inner",
-                small_rows: int = 200_000, salts: int = 32) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, right_key: str, how: str = "inner") -> DataFrame:
     """Join with a table of few rows per key, whatever share of `left` one key holds.
 
-    Spark's own splitting of hot keys does not reach a join whose right side is an
-    aggregate on the key. So: a right side counted to hold at most `small_rows` rows is
-    broadcast; a larger one is copied once per salt and `left` is spread over the salts by
-    a hash of its rows. The count reads `right`, so stage it when it is costly. The right
-    key is not kept.
+    The right side is written first. Spark then knows its size and broadcasts it only below
+    its own threshold; otherwise both sides are shuffled for this join alone, which is when
+    it splits the partitions of hot keys, equal rows included. The right key is not kept.
     """
-    right = right.withColumnRenamed(right_key, "_key")
-    if right.limit(small_rows + 1).count() <= small_rows:
-        return left.join(F.broadcast(right), F.col(key) == F.col("_key"), how).drop("_key")
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    same = (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_copy"))
-    return salted.join(copies, same, how).drop("_key", "_copy", "_salt")
+    right = stage(right.withColumnRenamed(right_key, "_key"), "right")
+    return left.join(right, F.col(key) == F.col("_key"), how).drop("_key")
 
 
 def natural_join(x: DataFrame, y: DataFrame, how: str = "inner") -> DataFrame:

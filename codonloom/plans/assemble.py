@@ -102,7 +102,7 @@ def training_table(mutations: DataFrame, edges: DataFrame, id_map: DataFrame, se
         F.col("codon_id").alias("mutation")).distinct()
     genes = degree(pairs).withColumnRenamed("times", schemas.DEGREE).join(
         process_flags(pairs, sets, categories), F.col("gene") == F.col("group")).drop("group")
-    table = spread_join(base, stage(genes, "genes"), "Entrez_Gene_Id", "gene")
+    table = spread_join(base, genes, "Entrez_Gene_Id", "gene")
     proteins = stage(modification_flags(sheet, key), "proteins")
     table = spread_join(table, proteins, "SWISSPROT", "ACC")
     table = spread_join(table, ratio_features(ratios), "Hugo_Symbol", "gene", "left")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from codonloom.learn import importance, validate
+from codonloom.learn import importance, neighbors, validate
 from codonloom.learn.encode import feature_stages
 from codonloom.learn.evaluate import auc
 from codonloom.learn.models import recipes
@@ -73,3 +73,12 @@ def test_feature_widths(spark, coding, width):
 def test_feature_levels(spark):
     levels = importance.feature_levels(spark)
     assert levels.count() == 51 and levels.filter("feature_category = 'Mutation level'").count() == 4
+
+
+def test_nearest_on_folds_of_one_table(spark):
+    table = spark.createDataFrame([(i, [float(i), 0.0], i % 2) for i in range(20)], "row_id bigint, features array<double>, label int")
+    folds = table.filter("row_id % 4 <> 0"), table.filter("row_id % 4 = 0")
+    found = {(r.row_id, r.neighbor) for r in neighbors.nearest(*folds, 1).collect()}
+    assert found == {(0, 1), (4, 3), (8, 7), (12, 11), (16, 15)}
+    own = neighbors.nearest(table, table, 1, skip_same_id=True).collect()
+    assert len(own) == 20 and all(r.distance == 1.0 for r in own)

@@ -51,14 +51,18 @@ def test_filters_and_columns_reach_the_scan(spark, mutations):
 
 
 def test_hot_gene_is_spread(spark, mutations):
-    """Salted, the hot gene's rows reach the join in many partitions; the result is whole."""
+    """Spark splits the hot gene's rows, as the written right side is shuffled for the join alone."""
     degrees = spark.range(1000).select(F.col("id").alias("gene"), F.lit(1).alias("times"))
     narrow = mutations.select("Entrez_Gene_Id", "Start_Position")
-    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
-        joined = spread_join(narrow, degrees, "Entrez_Gene_Id", "gene", small_rows=0)
-        sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    assert sum(r["count"] for r in sizes) == 200_000
-    assert max(r["count"] for r in sizes) < 60_000
+    with settings(
+        spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="64k",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="128k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+    ):
+        joined = spread_join(narrow, degrees, "Entrez_Gene_Id", "gene")
+        assert len(joined.collect()) == 200_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hot_edge_end_is_split(spark):

@@ -154,7 +154,24 @@ def test_neighbors_against_brute_force(spark, block_rows):
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_broadcast(spark, skewed, how):
     table = spark.createDataFrame([("hot", 1), ("hot", 2), ("other", 3)], "k string, v int")
-    plain = relate.spread_join(skewed, table, "g", "k", how)
-    salted = relate.spread_join(skewed, table, "g", "k", how, small_rows=0, salts=8)
-    assert plain.count() == (4000 if how == "inner" else 5000) and plain.columns == salted.columns
-    assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
+    spread = relate.spread_join(skewed, table, "g", "k", how)
+    plain = skewed.join(table, F.col("g") == F.col("k"), how).drop("k")
+    assert plain.count() == (4000 if how == "inner" else 5000) and plain.columns == spread.columns
+    assert plain.exceptAll(spread).count() == 0 and spread.exceptAll(plain).count() == 0
+
+
+def test_equal_rows_of_a_hot_key_are_split(spark):
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        hot = spark.range(0, 200_000, 1, 16).select(F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("g"))
+        table = spark.createDataFrame([("hot", 1), ("7", 2)], "k string, v int")
+        joined = relate.spread_join(hot, table, "g", "k", "left")
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
