@@ -100,6 +100,7 @@ def _bitmap(repeated: DataFrame) -> np.ndarray:
 
 _SPAN = "doc_id bigint, row_hash bigint, first bigint, past bigint"
 _STRETCH = "gram bigint, stretch binary"
+_NAMES = ("doc_id", "row_hash", "first", "past", "gram", "stretch")
 
 
 def _stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -146,7 +147,7 @@ def _rows(spans: list[tuple], grams: list, stretches: list) -> pa.RecordBatch:
     held = np.array(spans, np.int64).reshape(-1, 4)
     return pa.RecordBatch.from_arrays(
         [*[pa.array(np.ascontiguousarray(held[:, i])) for i in range(4)], pa.array(grams, pa.int64()), pa.array(stretches, pa.binary())],
-        ["doc_id", "row_hash", "first", "past", "gram", "stretch"])
+        [*_NAMES])
 
 
 def later_windows(stretches: list[bytes], place: np.ndarray) -> list[np.ndarray]:
@@ -175,9 +176,10 @@ def later_windows(stretches: list[bytes], place: np.ndarray) -> list[np.ndarray]
 def _settle(gathered: DataFrame) -> DataFrame:
     """Spans to remove among the stretches of one partition, which holds all of a gram's."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches([*rows], schema=_ARROW)
-        if not table.num_rows:
+        held = [batch for batch in rows if batch.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "row_hash", "first")])
         spans = np.stack([table.column(c).to_numpy() for c in ("doc_id", "row_hash", "first", "past")], 1)
         seen: dict[tuple[int, bytes], int] = {}
@@ -201,16 +203,12 @@ def _settle(gathered: DataFrame) -> DataFrame:
                     for run in np.split(gone, np.flatnonzero(np.diff(gone) > LENGTH) + 1):
                         removed.append(np.array([*spans[i, :2], spans[i, 2] + run[0], spans[i, 2] + run[-1] + LENGTH]))
         if removed:
-            held = np.stack(removed)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[:, i])) for i in range(4)], ["doc_id", "row_hash", "first", "past"])
+            gone = np.stack(removed)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(gone[:, i])) for i in range(4)], ["doc_id", "row_hash", "first", "past"])
 
     return gathered.mapInArrow(batches, _SPAN)
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("first", pa.int64()), ("past", pa.int64()),
-                    ("gram", pa.int64()), ("stretch", pa.binary())])
-
-
 def _settle_hot(hot: DataFrame) -> DataFrame:
     """The same window by window: the first of each 128-bit hash stays, the others go."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,13 +239,13 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     found = stage(_stretches(docs, _bitmap(repeated)), "stretches")
     sure = found.filter("stretch is null").select("doc_id", "row_hash", "first", "past")
     open_ = found.filter("stretch is not null")
-    per_gram = stage(open_.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
-    joined = open_.join(per_gram, "gram")
-    names = ["doc_id", "row_hash", "first", "past", "gram", "stretch"]
-    n = per_gram.filter(F.col("n") <= HOT).agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, -(-n // PER_TASK))
-    gathered = joined.filter(F.col("n") <= HOT).select(*names).repartition(tasks, "gram")
-    hot = joined.filter(F.col("n") > HOT).select(*names)
+    per_gram = open_.groupBy("gram").agg(F.count("*").alias("n"))
+    # At most one gram for every HOT stretches. Spark broadcasts this table only if it is
+    # small; then the stretches are shuffled once, to meet by gram.
+    crowded = stage(per_gram.filter(F.col("n") > HOT).select("gram"), "crowded")
+    tasks = max(1, -(-open_.count() // PER_TASK))
+    gathered = open_.join(crowded, "gram", "left_anti").select(*_NAMES).repartition(tasks, "gram")
+    hot = open_.join(crowded, "gram", "left_semi").select(*_NAMES)
     return sure.unionByName(_settle(gathered)).unionByName(_settle_hot(hot))
 
 
