@@ -71,12 +71,21 @@ def _(t):
     return summarize.class_balance(t("labelled_docs"), "class")
 
 
-@query("partner_strings", """
-    select gene, string_agg(cast(partner as varchar), ',' order by partner) as members, count(*) as times, 0 as part
-    from gene_pairs group by gene""")
+_PARTS = """
+    select gene, part, string_agg(cast(partner as varchar), ',' order by partner) as members, max(times) as times
+    from (select gene, partner, count(*) over (partition by gene) as times, cast((row_number() over (
+        partition by gene order by md5('0|' || cast(partner as varchar)), partner) - 1) // {size} as int) as part
+      from gene_pairs) group by gene, part"""
+
+
+@query("partner_strings", _PARTS.format(size=10_000))
+def _(t):
+    return graph.partner_strings(pairs(t))
+
+
+@query("partner_strings_in_parts", _PARTS.format(size=3))
 def _(t):
-    # A hub above the part size comes out as several rows; the SQL text knows one.
-    return graph.partner_strings(pairs(t)).withColumn("part", F.col("part").cast("int"))
+    return graph.partner_strings(pairs(t), 3)
 
 
 @query("interaction_degree", "select gene, times from gene_degree")
@@ -125,6 +134,7 @@ def _(t):
 
 
 _SUMMARY = """select '{c}' as "column", count({c}) as n, count(*) - count({c}) as n_missing, min({c}) as minimum,
+    quantile_disc({c}, 0.25) as q1, quantile_disc({c}, 0.5) as median, quantile_disc({c}, 0.75) as q3,
     round(avg({c}), 6) as mean, max({c}) as maximum from parsed_scores"""
 
 
@@ -132,4 +142,4 @@ _SUMMARY = """select '{c}' as "column", count({c}) as n, count(*) - count({c}) a
 def _(t):
     columns = ("SIFT", "PolyPhen", "Condel")
     summary = summarize.numeric_summary(numeric_scores(t("score_rows"), columns), columns)
-    return summary.select("column", "n", "n_missing", "minimum", F.round("mean", 6).alias("mean"), "maximum")
+    return summary.select("column", "n", "n_missing", "minimum", "q1", "median", "q3", F.round("mean", 6).alias("mean"), "maximum")

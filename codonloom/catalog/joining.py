@@ -128,7 +128,8 @@ def _(t):
 
 
 @query("exclude_listed", """
-    select c_custkey, c_name from customer c where not exists (select 1 from orders where o_custkey = c_custkey)""")
+    select c_custkey, c_name from customer c where not exists
+      (select 1 from orders where o_custkey = c_custkey and o_totalprice > 350000)""")
 def _(t):
-    listed = t("orders").select(F.col("o_custkey").alias("c_custkey"))
+    listed = t("orders").filter("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey"))
     return relate.drop_listed(t("customer").select("c_custkey", "c_name"), listed, ["c_custkey"])

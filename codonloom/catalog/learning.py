@@ -74,14 +74,17 @@ def _(t):
 
 @query("encoded_features", """
     select vec_id as row_id, case when label < 5 then 1.0::double else 0.0::double end as target,
-      cast(embedding[63] > 0 as int) + 1 - cast(embedding[63] > 0 as int) as flag_a_total, 66 as n_columns from embeddings""")
+      cast(embedding[63] > 0 as int) as flag_a_1, cast(embedding[63] <= 0 as int) as flag_a_0,
+      cast(embedding[64] > 0 as int) as flag_b_1, cast(embedding[64] <= 0 as int) as flag_b_0,
+      66 as n_columns from embeddings""")
 def _(t):
     stages = [label_stage("class"), *feature_stages(_NUMERIC, _BINARY, "full", scale=False)]
     frame = samples(t)
     encoded = Pipeline(stages=stages).fit(frame).transform(frame)
     values = vector_to_array("features")
-    total = F.get(values, F.lit(_WIDTH - 2)) + F.get(values, F.lit(_WIDTH - 1))
-    return encoded.select("row_id", "target", total.cast("int").alias("flag_a_total"), F.size(values).alias("n_columns"))
+    coded = [F.get(values, F.lit(_WIDTH - 2 + i)).cast("int").alias(name)
+             for i, name in enumerate(("flag_a_0", "flag_a_1", "flag_b_0", "flag_b_1"))]
+    return encoded.select("row_id", "target", *coded, F.size(values).alias("n_columns"))
 
 
 @query("scaled_features", """
@@ -101,12 +104,15 @@ def _(t):
 
 
 @query("treatment_dummies", """
-    select doc_id, cast((select count(distinct lang) - 1 from documents) as int) as n_columns from documents""")
+    with levels as (select distinct lang as level from documents)
+    select doc_id, string_agg(cast(lang = level as int)::varchar, ',' order by level) as dummies
+    from documents, levels where level < (select max(lang) from documents) group by doc_id""")
 def _(t):
     frame = t("documents").select("doc_id", "lang")
     indexed = alphabetical_levels(["lang"]).setHandleInvalid("error").fit(frame).transform(frame)
     coder = OneHotEncoder(inputCols=["lang_index"], outputCols=["dummies"], dropLast=True)
-    return coder.fit(indexed).transform(indexed).select("doc_id", F.size(vector_to_array("dummies")).alias("n_columns"))
+    return coder.fit(indexed).transform(indexed).select(
+        "doc_id", F.array_join(vector_to_array("dummies").cast("array<int>").cast("array<string>"), ",").alias("dummies"))
 
 
 # Leave-one-out neighbours over every pair of vectors.

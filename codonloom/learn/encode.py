@@ -27,7 +27,10 @@ def fixed_levels(spark_columns: dict[str, list[str]]) -> StringIndexerModel:
 
 
 def label_stage(label: str = LABEL, levels=LEVELS) -> StringIndexerModel:
-    """Numeric target with a fixed class order; works on 0/1 labels too."""
+    """Numeric target with a fixed class order; works on 0/1 labels too.
+
+    Fitting leaves out rows without a known label; scoring does without this stage.
+    """
     return StringIndexerModel.from_labels(
         [str(v) for v in levels], inputCol=label, outputCol=TARGET, handleInvalid="skip")
 

@@ -48,13 +48,20 @@ def score_expression(score_column: str) -> Column:
     return F.get(vector_to_array(score_column), F.lit(1))
 
 
+def without_target(model: PipelineModel) -> PipelineModel:
+    """The stages that scoring needs: all but the one that indexes the label."""
+    return PipelineModel([
+        s for s in model.stages
+        if not (s.hasParam("outputCol") and s.isSet("outputCol") and s.getOrDefault("outputCol") == TARGET)])
+
+
 def score(model, recipe: Recipe, data: DataFrame, keep, label: str | None = None,
           levels=LEVELS, threshold: float = 0.5) -> DataFrame:
-    """Class and score for each row.
+    """Class and score for each row, labelled or not.
 
     `pred` compares a probability with `threshold`; a margin is cut at zero.
     """
-    scored = model.transform(data).withColumn("score", score_expression(recipe.score_column))
+    scored = without_target(model).transform(data).withColumn("score", score_expression(recipe.score_column))
     cut = threshold if recipe.score_column == "probability" else 0.0
     negative, positive = (F.lit(v) for v in levels)
     observed = [F.col(label).alias("obs")] if label else []

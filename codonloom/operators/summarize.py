@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonloom.functions.numeric import finite
-from codonloom.operators.relate import spread_join
+from codonloom.operators.ordering import hash_rank, running_sums
+from codonloom.session import stage
 
 
 def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
@@ -41,19 +42,19 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 
 def member_strings(pairs: DataFrame, key: str, member: str, part_size: int = 10_000) -> DataFrame:
-    """Members of each key as one sorted, comma-joined text, with the group size.
+    """Members of each key as sorted, comma-joined texts, with the group size.
 
-    A group of more than `part_size` members becomes several rows (`part` 0, 1, ...), cut
-    by a hash of the member, so that a hub never has to fit one row or one task and no
-    member is left out.
+    Members are numbered in hash order within their key, and every `part_size` of them make
+    one row (`part` 0, 1, ...). The rule is the same for groups of any size, so a hub never
+    has to fit one row or one task and no member is left out.
     """
     unique = pairs.select(key, member).distinct()
-    sizes = unique.groupBy(key).agg(F.count(F.lit(1)).alias("times"))
-    parts = F.ceil(F.col("times") / part_size)
-    sized = spread_join(unique, sizes.withColumnRenamed(key, "_of"), key, "_of")
-    spread = sized.withColumn("part", F.pmod(F.xxhash64(member), parts))
+    ranked = hash_rank(unique, [member], by=[key], name="_nth")
+    spread = ranked.withColumn("part", F.floor((F.col("_nth") - 1) / part_size).cast("int"))
     joined = F.array_join(F.array_sort(F.collect_list(member)).cast("array<string>"), ",")
-    return spread.groupBy(key, "part", "times").agg(joined.alias("members"))
+    texts = spread.groupBy(key, "part").agg(F.count(F.lit(1)).alias("_n"), joined.alias("members"))
+    # One row per part by now.
+    return texts.select(key, "part", F.sum("_n").over(Window.partitionBy(key)).alias("times"), "members")
 
 
 def max_per_key(df: DataFrame, key: str, columns) -> DataFrame:
@@ -73,14 +74,19 @@ def deviations(df: DataFrame, columns) -> DataFrame:
 def numeric_summary(df: DataFrame, columns) -> DataFrame:
     """Per column: present and missing values, minimum, quartiles, mean, maximum.
 
-    Quartiles come from a mergeable sketch that is exact below 10,000 rows.
+    Quartiles are exact: the smallest value with at least a quarter, half or three quarters
+    of the present values up to it, found by running sums over counts per value.
     """
     columns = list(columns)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    quarter = F.percentile_approx("value", [0.25, 0.5, 0.75], 10000)
     table = long.groupBy("column").agg(
         F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"),
-        F.min("value").alias("minimum"), quarter.alias("_q"), F.avg("value").alias("mean"),
-        F.max("value").alias("maximum"))
-    quartiles = [F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(("q1", "median", "q3"))]
-    return table.select("column", "n", "n_missing", "minimum", *quartiles, "mean", "maximum")
+        F.min("value").alias("minimum"), F.avg("value").alias("mean"), F.max("value").alias("maximum"))
+    present = long.filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("times"))
+    running = running_sums(stage(present, "value_counts"), "value", {"down": "times"}, ["column"])
+    upto = F.col("total_down") - F.col("down") + F.col("times")
+    quartiles = running.groupBy("column").agg(*[
+        F.min(F.when(4 * upto >= i * F.col("total_down"), F.col("value"))).alias(name)
+        for i, name in enumerate(("q1", "median", "q3"), 1)])
+    return table.join(quartiles, "column", "left").select(
+        "column", "n", "n_missing", "minimum", "q1", "median", "q3", "mean", "maximum")

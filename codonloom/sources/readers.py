@@ -49,11 +49,18 @@ def read_row_named(spark: SparkSession, path, schema: T.StructType) -> DataFrame
 
 
 def read_whitespace(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """Fields separated by any run of blanks, with a header line in each file."""
-    names = [f.name for f in schema.fields]
+    """Fields separated by any run of blanks, with a header line in each file.
+
+    Only the first line of a file is skipped, whatever later lines hold. A line with more or
+    fewer fields than `schema` is an error; empty lines are left out.
+    """
+    lines = (
+        spark.read.schema("value string").option("header", True).option("sep", "\u0001")
+        .option("quote", "").option("mode", "FAILFAST").csv(path)
+    )
     parts = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).select(parts.alias("parts"))
-    rows = lines.filter(F.col("parts") != F.array(*[F.lit(n) for n in names]))
+    wrong = F.raise_error(F.concat(F.lit(f"not {len(schema.fields)} fields: "), F.col("value")))
+    rows = lines.select(F.when(F.size(parts) == len(schema.fields), parts).otherwise(wrong).alias("parts"))
 
     def field(i: int, f: T.StructField):
         text = F.nullif(F.get("parts", F.lit(i)), F.lit("NA"))

@@ -42,6 +42,21 @@ def test_whitespace_fields(spark, tmp_path):
     assert [tuple(r) for r in got] == [("x", 1, 0.5), ("y", None, None)]
 
 
+def test_whitespace_skips_one_header_a_file(spark, tmp_path):
+    texts = schemas.fields(a="string", b="string")
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.txt").write_text(f"a b\n{name} 2\na b\n")
+    got = readers.read_whitespace(spark, str(tmp_path / "*.txt"), texts).collect()
+    assert sorted(tuple(r) for r in got) == [("a", "b"), ("a", "b"), ("one", "2"), ("two", "2")]
+
+
+@pytest.mark.parametrize("line", ["3 4 5", "7"])
+def test_whitespace_reports_other_field_counts(spark, tmp_path, line):
+    (tmp_path / "w.txt").write_text(f"a b\n1 2\n{line}\n")
+    with pytest.raises(Exception, match="not 2 fields"):
+        readers.read_whitespace(spark, str(tmp_path / "w.txt"), schemas.fields(a="string", b="string")).collect()
+
+
 def test_many_files(spark, tmp_path):
     for name in ("one", "two"):
         (tmp_path / f"{name}.tsv").write_text(f"a\tb\tc\n{name}\t1\t2\n")

@@ -47,6 +47,15 @@ def test_saved_kernel_model_scores_alike(data, tmp_path):
     assert a.exceptAll(b).count() == 0
 
 
+def test_unlabelled_rows_are_scored(data):
+    recipe = recipes(NUMERIC, BINARY, "y")["decision_tree"]
+    model = recipe.pipeline.fit(data, recipe.grid[0])
+    some = data.withColumn("y", F.when(F.col("row_id") % 6 != 0, F.col("y")))
+    got = validate.score(model, recipe, some, ["row_id"])
+    assert got.exceptAll(validate.score(model, recipe, data, ["row_id"])).count() == 0 and got.count() == 240
+    assert validate.score(model, recipe, data.drop("y"), ["row_id"]).count() == 240
+
+
 def test_permutation_finds_the_informative_feature(data):
     recipe = recipes(NUMERIC, BINARY, "y")["logistic_regression"]
     model = recipe.pipeline.fit(data, recipe.grid[0])
