@@ -37,9 +37,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/codonloom/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write `df` as Parquet on shared storage and continue from the written table."""
+def stage(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
+    """Write `df` as Parquet on shared storage, with writer `options`, and continue from the written table."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
