@@ -8,9 +8,11 @@ document further left) goes. Strings are found exactly, in four steps:
    stretch of windows in the whole corpus need no further look.
 2. Around each other anchor, the stretch of text that holds all its windows is cut out. Of
    equal stretches within one task all but the earliest go at once.
-3. Stretches meet by gram. Tasks sort the suffixes of those that differ by induced sorting,
-   and permuted common prefixes of 100 and more tie equal windows together: all but the
-   earliest go. Grams with very many different stretches are settled per window instead.
+3. Equal stretches of different tasks meet by a hash, without their bytes; all but the
+   earliest go. Stretches that stay meet by gram, where a gram has different ones. Tasks
+   sort their suffixes by induced sorting, and permuted common prefixes of 100 and more tie
+   equal windows together: all but the earliest go. Grams with very many different
+   stretches are settled per window instead.
 4. Removed spans meet their document again.
 """
 
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonloom.llm.induced import permuted_lcp, suffix_array
@@ -88,7 +90,7 @@ def _grams(docs: DataFrame) -> DataFrame:
 
 
 def _bitmap(repeated: DataFrame) -> np.ndarray:
-    """A bit for the leading bits of each gram; at most 2 ** (FILTER_BITS - 6) rows reach the driver."""
+    """A bit for the leading bits of each hash in column `gram`; at most 2 ** (FILTER_BITS - 6) rows reach the driver."""
     place = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
     word = F.shiftright(place, 6).alias("word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
@@ -98,6 +100,11 @@ def _bitmap(repeated: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
+def _set_in(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 _SPAN = "doc_id bigint, row_hash bigint, first bigint, past bigint"
 _STRETCH = "gram bigint, stretch binary"
 _NAMES = ("doc_id", "row_hash", "first", "past", "gram", "stretch")
@@ -122,8 +129,7 @@ def _stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 if len(text) < LENGTH:
                     continue
                 first, last, gram = anchors(np.frombuffer(text, np.uint8))
-                place = gram.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-                kept = np.flatnonzero(words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+                kept = np.flatnonzero(_set_in(words, gram))
                 for a, b, g in zip(first[kept].tolist(), last[kept].tolist(), gram[kept].tolist(), strict=True):
                     key, here = (g, text[a:b + LENGTH]), (doc, row, a, b + LENGTH)
                     there = earliest.setdefault(key, here)
@@ -233,20 +239,52 @@ def _settle_hot(hot: DataFrame) -> DataFrame:
         "doc_id", "row_hash", "first", (F.col("first") + LENGTH).alias("past"))
 
 
+def _place():
+    return F.xxhash64("doc_id", "row_hash", "first", "gram").alias("place")
+
+
+def _shipped(open_: DataFrame, firsts: np.ndarray, contested: np.ndarray) -> DataFrame:
+    """The stretches whose gram and place have their bits set; a few more do no harm."""
+    held = open_.sparkSession.sparkContext.broadcast((firsts, contested))
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, grams = held.value
+        for batch in rows:
+            keep = _set_in(grams, batch.column(4).to_numpy()) & _set_in(places, batch.column(6).to_numpy())
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(6)], [*_NAMES])
+
+    return open_.select(*_NAMES, _place()).mapInArrow(batches, f"{_SPAN}, {_STRETCH}")
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
     """`doc_id`, `row_hash`, `first` and `past` of byte spans to remove; they may overlap."""
     repeated = stage(_grams(docs).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated")
-    found = stage(_stretches(docs, _bitmap(repeated)), "stretches")
+    # Neighbouring stretches overlap, so this table packs well.
+    found = stage(_stretches(docs, _bitmap(repeated)), "stretches", compression="zstd")
     sure = found.filter("stretch is null").select("doc_id", "row_hash", "first", "past")
     open_ = found.filter("stretch is not null")
-    per_gram = open_.groupBy("gram").agg(F.count("*").alias("n"))
+    # Tasks reported their own earliest copies: at most one row a task meets here, without
+    # its bytes. The earliest of all stays open; repeated rows tie, as they are one document.
+    same = Window.partitionBy("gram", "content").orderBy("doc_id", "row_hash", "first")
+    ranked = open_.select("doc_id", "row_hash", "first", "past", "gram", F.xxhash64("stretch").alias("content")).withColumn("rank", F.rank().over(same))
+    is_first = F.col("rank") == 1
+    told = stage(ranked.select(
+        *[F.when(~is_first, F.col(c)).alias(c) for c in ("doc_id", "row_hash", "first", "past")],
+        F.when(is_first, F.col("gram")).alias("gram"), F.when(is_first, _place()).alias("place")), "told")
+    later = told.filter("gram is null").select("doc_id", "row_hash", "first", "past")
+    earliest = told.filter("gram is not null")
+    # Only grams with different stretches need a look at the bytes.
+    kinds = stage(earliest.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "kinds")
+    shipped = _shipped(open_, _bitmap(earliest.select(F.col("place").alias("gram"))), _bitmap(kinds))
     # At most one gram for every HOT stretches. Spark broadcasts this table only if it is
     # small; then the stretches are shuffled once, to meet by gram.
-    crowded = stage(per_gram.filter(F.col("n") > HOT).select("gram"), "crowded")
-    tasks = max(1, -(-open_.count() // PER_TASK))
-    gathered = open_.join(crowded, "gram", "left_anti").select(*_NAMES).repartition(tasks, "gram")
-    hot = open_.join(crowded, "gram", "left_semi").select(*_NAMES)
-    return sure.unionByName(_settle(gathered)).unionByName(_settle_hot(hot))
+    crowded = stage(kinds.filter(F.col("n") > HOT).select("gram"), "crowded")
+    total = kinds.filter(F.col("n") <= HOT).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(1, -(-total // PER_TASK))
+    gathered = shipped.join(crowded, "gram", "left_anti").select(*_NAMES).repartition(tasks, "gram")
+    hot = shipped.join(crowded, "gram", "left_semi").select(*_NAMES)
+    return sure.unionByName(later).unionByName(_settle(gathered)).unionByName(_settle_hot(hot))
 
 
 def _cut(text: bytes, spans: np.ndarray) -> tuple[int, int, bytes]:
