@@ -72,7 +72,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
 
     The result has `blob`, `rule`, `start` and `stop` for the current rule versions. A null
     text is empty and has a blob too. Findings are written before the note that a blob was
-    scanned: a broken run is repeated, never skipped.
+    scanned: a broken run is repeated, never skipped. Rows that are equal in path and text
+    count once.
     """
     spark = versions.sparkSession
     found, scanned = _table(spark, ledger, "found", FOUND), _table(spark, ledger, "scanned", SCANNED)
@@ -88,7 +89,9 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     # Only texts with a hit are kept beyond the scan; which rules hit is decided in one pass.
     hits = F.filter(F.array(*[F.when(F.array_contains("missing", w) & F.col("text").rlike(r.pattern), F.lit(r.name))
                               for w, r in zip(wanted, rules, strict=True)]), lambda x: x.isNotNull())
-    fresh.select("blob", "missing", hits.alias("hits"), F.when(F.size(hits) > 0, F.col("text")).alias("text")).write.mode("overwrite").parquet(new)
+    marked = fresh.select("blob", "missing", hits.alias("hits"), F.when(F.size(hits) > 0, F.col("text")).alias("text"))
+    # Several rows can hold the blob under its first path; places are summed up per blob, so one row of it stays.
+    marked.dropDuplicates(["blob"]).write.mode("overwrite").parquet(new)
     pending = spark.read.parquet(new)
     made = None
     for rule in rules:

@@ -180,6 +180,15 @@ def test_ledger_scans_new_pairs_only(spark, tmp_path):
     assert held == {"a": 1, "b": 1, "c": 0}
 
 
+def test_repeated_rows_have_the_spans_of_one(spark, tmp_path):
+    text = "é password=abcdef then token=ghijkl end"
+    rows = spark.createDataFrame([(1, text)] * 3 + [(2, "clean")] * 2, "doc_id bigint, text string").repartition(3)
+    found = secrets.scan(rows, str(tmp_path / "ledger"), path="doc_id")
+    assert sorted((r.rule, r.start, r.stop) for r in found.collect()) == [("assign", 2, 17), ("assign", 23, 35)]
+    masked = corpus_pipeline.mask_secrets(spark, rows, "").collect()
+    assert sorted(r.text for r in masked) == ["clean"] * 2 + ["é [secret] then [secret] end"] * 3
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 16, 1000])
 def test_feistel_is_a_permutation(spark, n):
     rows = spark.range(n).select("id", sharding.permuted("id", n, 3).alias("p")).collect()
