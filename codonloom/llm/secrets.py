@@ -35,7 +35,8 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}"),
     Rule("bearer", r"gh[a-z]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # Header, body and END line; without an END line all that follows, as the body cannot be told from text.
+    Rule("pem", r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----END)[^-]*+)*+(?:-----END [A-Z0-9 ]{0,40}-----)?", version=2),
 )
 
 

@@ -189,6 +189,18 @@ def test_repeated_rows_have_the_spans_of_one(spark, tmp_path):
     assert sorted(r.text for r in masked) == ["clean"] * 2 + ["é [secret] then [secret] end"] * 3
 
 
+def test_private_keys_are_masked_with_their_bodies(spark):
+    body = "\nProc-Type: 4,ENCRYPTED\n\n" + "MIIEow+IBAA/KC-AQEA\n" * 2000
+    def key(kind, end=True):
+        return f"-----BEGIN {kind}-----{body}" + f"-----END {kind}-----" * end
+
+    texts = {1: f"a {key('RSA PRIVATE KEY')} b", 2: f"a {key('PGP PRIVATE KEY BLOCK')} b {key('PRIVATE KEY')} c",
+             3: f"a {key('EC PRIVATE KEY', end=False)}", 4: f"a {key('PUBLIC KEY')} b"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.mask_secrets(spark, rows, "").collect()}
+    assert got == {1: "a [secret] b", 2: "a [secret] b [secret] c", 3: "a [secret]", 4: texts[4]}
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 16, 1000])
 def test_feistel_is_a_permutation(spark, n):
     rows = spark.range(n).select("id", sharding.permuted("id", n, 3).alias("p")).collect()
