@@ -374,6 +374,17 @@ def test_masking_and_near_copies(spark, docs):
     assert 4 not in ids and {1, 9, 10} <= set(ids)
 
 
+def test_stages_tell_rows_with_repeated_and_null_ids_apart(spark, tmp_path):
+    other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in ("delta", "omega"))
+    rows = [(1, other), (1, other), (1, third), (None, third), (None, LONG), (None, LONG), (2, third), (None, PASSAGE), (3, PASSAGE + " x")]  # the last two hold the item
+    table = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, table.filter(~F.col("text").startswith("alpha")), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, other), (1, third), (None, LONG)], key=str)
+    spark.createDataFrame([(1, PASSAGE)], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = corpus_pipeline.drop_contaminated(spark, table, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=str) == sorted(rows[:-2], key=str)
+
+
 @needs_tables
 def test_pipeline_runs_and_packs_what_it_keeps(spark):
     rows = entries.pipeline(spark, FOLDER).collect()
