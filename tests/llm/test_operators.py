@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from codonloom.llm import (decontaminate, entries, graph, induced, lm, packing, quality, secrets, sharding, simhash, suffixes,
+from codonloom.llm import (decontaminate, entries, graph, induced, lm, packing, quality, secrets, sharding, similar, simhash, suffixes,
                            toxicity, urls)
 
 FOLDER = "/root/testdata/sf0.001"
@@ -385,6 +385,48 @@ def test_stages_tell_rows_with_repeated_and_null_ids_apart(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in clean), key=str) == sorted(rows[:-2], key=str)
 
 
+def similar_groups(texts):
+    """Smallest id of each group of texts linked by shingle sets at 0.8 or more."""
+    sets, held = {}, collections.defaultdict(set)
+    for d, t in texts.items():
+        words = WORD.findall(t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[d] = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        for s in sets[d]:
+            held[s].add(d)
+    root = {d: d for d in texts}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d in sorted(texts):
+        for o in set().union(*(held[s] for s in sets[d])):
+            both = len(sets[d] & sets[o])
+            if o > d and 5 * both >= 4 * (len(sets[d]) + len(sets[o]) - both):
+                a, b = sorted((top(d), top(o)))
+                root[b] = a
+    return {d: top(d) for d in texts}
+
+
+@needs_tables
+def test_near_copy_stage_links_all_pairs_from_a_similarity_of_four_fifths(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rng = np.random.default_rng(1)
+    base, line = [[f"{k}{i}" for i in range(120)] for k in "bc"], " ".join(f"line{i}" for i in range(30))
+    at = max(texts) + 1
+    for n in range(200):  # copies with up to eleven edits and a line that many texts share
+        words = list(base[n % 2])
+        for i in rng.choice(120, n % 12, replace=False):
+            words[i] = f"edit{n}x{i}"
+        texts[at + n] = " ".join(words)
+        texts[at + 1000 + n] = line + " " + " ".join(f"own{n}x{i}" for i in range(int(rng.integers(1, 30))))
+    want = similar_groups(texts)
+    table = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in texts.items()], SCHEMA).repartition(4)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, "").select("doc_id").collect())
+    assert kept == sorted(set(want.values()))
+
+
 @needs_tables
 def test_pipeline_runs_and_packs_what_it_keeps(spark):
     rows = entries.pipeline(spark, FOLDER).collect()
