@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codonloom.llm import decontaminate, lm, packing, quality, secrets, sharding, simhash, suffixes, toxicity, urls
+from codonloom.llm import (codes, decontaminate, discriminant, lm, packing, quality, secrets, sharding, simhash, suffixes, toxicity, urls,
+                           whitening)
 from codonloom.session import configure, scratch_path
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -83,13 +84,27 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = codes.compress(_table(spark, folder, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    return discriminant.classify(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(configure(spark), folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (op1_simhash_groups, op2_quality_rules, op3_decontamination, op4_secret_scan, op5_toxicity, op6_feistel_shards,
-            op7_url_filters, op8_lm_scores, op9_packing, op10_suffix_dedup, pipeline)
+            op7_url_filters, op8_lm_scores, op9_packing, op10_suffix_dedup, op11_vector_codes, op12_quality_discriminant,
+            op13_embedding_whitening, pipeline)
     return {f.__name__: f for f in made}
 
 
