@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +40,65 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/codonloom/{name}-{uuid.uuid4().hex}"
 
 
+class Scope:
+    """Paths of the stages written since it was opened, which go when it ends."""
+
+    def __init__(self, spark: SparkSession, outer: Scope | None):
+        self.spark, self.outer, self.paths = spark, outer, []
+
+    def keep(self, df: DataFrame, name: str = "kept") -> DataFrame:
+        """`df` as a written table that outlives this scope and goes with the scope around it, if any."""
+        token = _SCOPE.var.set(self.outer)
+        try:
+            return stage(df, name)
+        finally:
+            _SCOPE.var.reset(token)
+
+    def drop(self) -> None:
+        """Delete the stages written so far."""
+        for path in self.paths:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.paths.clear()
+
+
+class _Current:
+    """The scope open in this thread of the driver; code that is sent to tasks finds none."""
+
+    def __init__(self):
+        self.var: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+    def __reduce__(self):
+        return _Current, ()
+
+
+_SCOPE = _Current()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scope]:
+    """A scope whose stages are deleted at its end: `keep` what is read afterwards.
+
+    Frames are lazy, so whatever leaves the scope and still has to read one of its stages
+    must be kept. Scopes may be nested.
+    """
+    scope = Scope(spark, _SCOPE.var.get())
+    token = _SCOPE.var.set(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPE.var.reset(token)
+        scope.drop()
+
+
 def stage(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
-    """Write `df` as Parquet on shared storage, with writer `options`, and continue from the written table."""
+    """Write `df` as Parquet on shared storage, with writer `options`, and continue from the written table.
+
+    Inside a `scratch_scope` the table goes with the scope.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if (scope := _SCOPE.var.get()) is not None:
+        scope.paths.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
