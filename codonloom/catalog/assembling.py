@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codonloom.catalog.counting import pairs
+from codonloom.catalog.counting import pairs, score_steps
 from codonloom.catalog.registry import STEPS, query
+from codonloom.catalog.reshaping import modification_steps
+from codonloom.catalog.views import SHARED_RANKS
+from codonloom.operators.scores import rank_columns
 from codonloom.plans import assemble
 from codonloom.sources.readers import gene_sets, symbol_map
 from codonloom.sources.schemas import (
@@ -146,3 +149,75 @@ def _(t):
     scored = assemble.with_competitor_score(positions, t("competitor_rows"))
     return assemble.recode_benchmark_label(scored).select(
         "Hugo_Symbol", "Mutation", "label", F.round("competitor_score", 9).alias("competitor_score"))
+
+
+score_steps("test_scores", "test_level", SHARED_RANKS)
+score_steps("bench_scores", "bench_level", SHARED_RANKS)
+modification_steps("bench_sheet", "bench_codes", "bench_flags")
+_GENES = ", ".join(["d.times as max_no_interactions", *["f." + c for c in PROCESS_FLAGS], *["p." + c for c in MODIFICATION_FLAGS],
+                    *["r." + c for c in RATIO_FEATURES]])
+_WHOLE = " and ".join(c + " is not null" for c in ALL_FEATURES)
+STEPS["test_rows"] = f"""
+    with ids as (select distinct query, entrezgene, uniprot from test_symbols where entrezgene is not null and length(uniprot) = 6
+      and not contains(uniprot, ',')),
+    base as (select distinct Hugo_Symbol, Hugo_Symbol || '_' || substring(HGVSp_Short, 3) as mutation,
+      Chromosome || '_' || cast(Start_Position as varchar) || '_' || Reference_Allele || '/' || Tumor_Seq_Allele2 as variant_key,
+      class as {LABEL} from mutations),
+    wide as (select b.mutation, b.variant_key, {_GENES}, v.sift, v.polyphen, v.condel, v.average_rank, b.{LABEL}
+      from base b join ids i on b.Hugo_Symbol = i.query join gene_degree d on i.entrezgene = d.gene
+      join group_flags f on i.entrezgene = f.grp join ptm_flags p on i.uniprot = p.ACC
+      join ratio_table r on b.Hugo_Symbol = r.gene join test_level v on b.variant_key = v.Uploaded_variation)
+    select * from wide where {_WHOLE} and {LABEL} is not null"""
+STEPS["bench_rows"] = f"""
+    with wide as (select b.Hugo_Symbol || '_' || b.Mutation as mutation,
+      b.Chromosome || '_' || b.Start_Position || '_' || b.Reference_Allele || '/' || b.Alternative_Allele as variant_key,
+      {_GENES}, v.sift, v.polyphen, v.condel, v.average_rank,
+      case when b.label = 'Non-neutral' then 'driver' else 'passenger' end as {LABEL}, c.score as competitor_score
+      from bench_positions b join competitor_rows c on b.Chromosome = substring(c.Chrom, 4)
+        and b.Start_Position = cast(c.Position as varchar) and b.Reference_Allele = c.Ref_Base and b.Alternative_Allele = c.Alt_Base
+      join bench_ids i on b.Hugo_Symbol = i.symbol join gene_degree d on i.Entrez_Gene_ID = d.gene
+      join group_flags f on i.Entrez_Gene_ID = f.grp join bench_flags p on i.UniProt_ID = p.ACC
+      join ratio_table r on b.Hugo_Symbol = r.gene
+      join bench_level v on b.Chromosome || '_' || b.Start_Position || '_' || b.Reference_Allele || '/' || b.Alternative_Allele = v.Uploaded_variation
+      where b.label is not null)
+    select * from wide where {_WHOLE} and competitor_score is not null"""
+
+
+def _gene_inputs(t, sheet: str) -> assemble.GeneInputs:
+    return assemble.GeneInputs(t("edges"), t("id_map"), gene_sets(t("gene_library")), t("hallmarks"), t(sheet), t("ptm_key"), t("ratio_table"))
+
+
+def shared_ranks(t) -> list[str]:
+    """Rank columns that all three score sources have."""
+    return rank_columns(t("score_rows"), t("test_scores"), t("bench_scores"))
+
+
+def test_table(t):
+    return assemble.test_table(t("mutations"), symbol_map(t("test_symbols")), _gene_inputs(t, "ptm_sheet"), t("test_scores"), shared_ranks(t))
+
+
+def benchmark_features(t):
+    return assemble.benchmark_features(
+        t("bench_mutations"), t("coordinate_rows"), t("protein_rows"), t("id_map"), _gene_inputs(t, "bench_sheet"), t("bench_scores"),
+        t("competitor_rows"), shared_ranks(t))
+
+
+@query("test_table", f"select mutation, variant_key, {', '.join(_SHOWN)}, {LABEL} from test_rows")
+def _(t):
+    return test_table(t).withColumn("average_rank", F.round("average_rank", 6))
+
+
+@query("benchmark_features", f"select mutation, variant_key, {', '.join(_SHOWN)}, {LABEL}, round(competitor_score, 9) as competitor_score from bench_rows")
+def _(t):
+    return benchmark_features(t).withColumns({"average_rank": F.round("average_rank", 6), "competitor_score": F.round("competitor_score", 9)})
+
+
+@query("table_sizes", """
+    select 'training' as name, count(*) as n, sum(labels_driver_mutation) as n_driver from training_rows
+    union all select 'test', count(*), count(*) filter (where labels_driver_mutation = 'driver') from test_rows
+    union all select 'benchmark', count(*), count(*) filter (where labels_driver_mutation = 'driver') from bench_rows""")
+def _(t):
+    parts = [("training", training_table(t), 1), ("test", test_table(t), "driver"), ("benchmark", benchmark_features(t), "driver")]
+    frames = [table.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_if(F.col(LABEL) == F.lit(hit)).alias("n_driver"))
+              for name, table, hit in parts]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])

@@ -16,17 +16,23 @@ STEPS["mapped_edges"] = """
     join id_map a on e.P1 = a.from_id join id_map b on e.P2 = b.from_id where coalesce(e.P1 <> e.P2, true)"""
 STEPS["gene_pairs"] = "select distinct p2_id as gene, p1_id as partner from mapped_edges"
 STEPS["gene_degree"] = "select gene, count(*) as times from gene_pairs group by gene"
-STEPS["parsed_scores"] = r"""
+
+
+def score_steps(source: str, result: str, ranks) -> None:
+    """Steps from the score rows of a source to one row per variant, named after `result`."""
+    STEPS[f"parsed_{result}"] = r"""
     select Uploaded_variation, try_cast(SIFT as double) as SIFT,
       try_cast(regexp_replace(PolyPhen, '.*\((.*)\).*', '\1') as double) as PolyPhen,
-      try_cast(Condel as double) as Condel, """ + ", ".join(
-        f"try_cast({r} as double) as {r}" for r in RANKS) + " from score_rows"
-STEPS["top_scores"] = "select Uploaded_variation, " + ", ".join(
-    f"max({c}) as {c}" for c in ("SIFT", "PolyPhen", "Condel", *RANKS)) + " from parsed_scores group by Uploaded_variation"
-STEPS["variant_level"] = f"""
+      try_cast(Condel as double) as Condel, """ + ", ".join(f"try_cast({r} as double) as {r}" for r in ranks) + f" from {source}"
+    STEPS[f"top_{result}"] = "select Uploaded_variation, " + ", ".join(
+        f"max({c}) as {c}" for c in ("SIFT", "PolyPhen", "Condel", *ranks)) + f" from parsed_{result} group by Uploaded_variation"
+    STEPS[result] = f"""
     select Uploaded_variation, SIFT as sift, PolyPhen as polyphen, Condel as condel,
-      ({' + '.join(f'coalesce({r}, 0)' for r in RANKS)}) /
-      nullif({' + '.join(f'({r} is not null)::int' for r in RANKS)}, 0) as average_rank from top_scores"""
+      ({' + '.join(f'coalesce({r}, 0)' for r in ranks)}) /
+      nullif({' + '.join(f'({r} is not null)::int' for r in ranks)}, 0) as average_rank from top_{result}"""
+
+
+score_steps("score_rows", "variant_level", RANKS)
 
 
 def pairs(t):

@@ -10,12 +10,19 @@ from codonloom.plans.assemble import modification_flags, residue_flags
 from codonloom.sources.schemas import MODIFICATIONS, snake
 
 RESIDUES = ("S", "T", "Y", "K", "R", "N")
-STEPS["ptm_codes"] = """
-    select ACC, trim(c) as code from (select ACC, unnest(string_split(MODIFICATION_SUMMARY, ',')) as c from ptm_sheet
+
+
+def modification_steps(sheet: str, codes: str, flags: str) -> None:
+    """Steps from a modification sheet to its codes and to one row of flags per protein."""
+    STEPS[codes] = f"""
+    select ACC, trim(c) as code from (select ACC, unnest(string_split(MODIFICATION_SUMMARY, ',')) as c from {sheet}
       where ORGANISM = 'human') where trim(c) <> ''"""
-STEPS["ptm_flags"] = "select ACC, " + ", ".join(
-    f"max(case when Description = '{m}' then 1 else 0 end) as {snake(m)}" for m in MODIFICATIONS
-) + " from ptm_codes join ptm_key on code = PTM group by ACC"
+    STEPS[flags] = "select ACC, " + ", ".join(
+        f"max(case when Description = '{m}' then 1 else 0 end) as {snake(m)}" for m in MODIFICATIONS
+    ) + f" from {codes} join ptm_key on code = PTM group by ACC"
+
+
+modification_steps("ptm_sheet", "ptm_codes", "ptm_flags")
 _FLAGS = {"A": "returned_a", "N": "returned_n", "R": "returned_r"}
 
 

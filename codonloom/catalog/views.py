@@ -18,6 +18,10 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 RANKS = tuple(f"r{i:02d}_rankscore" for i in range(1, 13))
+# The three score sources do not list the same rank columns; averages take those all of them have.
+TEST_RANKS = tuple(f"r{i:02d}_rankscore" for i in (1, *range(4, 15)))
+BENCH_RANKS = tuple(f"r{i:02d}_rankscore" for i in range(3, 12))
+SHARED_RANKS = tuple(r for r in RANKS if r in TEST_RANKS and r in BENCH_RANKS)
 
 
 def _residue(x: str) -> str:
@@ -116,6 +120,33 @@ VIEWS: dict[str, str] = {
             f"lpad({_text(f'({_QUANTITY} * {i + 1}) % 100')}, 2, '0') end as {r}"
             for i, r in enumerate(RANKS)) + """
         from {lineitem}""",
+    "test_scores": f"""
+        select distinct {_CHROMOSOME} || '_' || {_text(_SITE)} || '_' || {_REF} || '/' || {_ALT} as Uploaded_variation,
+          case when l_returnflag = 'R' and l_linenumber = 1 then '-' else '0.' || {_CENT} end as SIFT,
+          case l_linenumber when 2 then '-' else 'benign(0.' || {_CENT} || ')' end as PolyPhen,
+          case when {_TYPE} = 8 then 'high' else '0.' || {_CENT} end as Condel, """ + ", ".join(
+            f"case when (l_linenumber + {i}) % 4 = 0 then '-' else '0.' || "
+            f"lpad({_text(f'({_QUANTITY} * {i + 3}) % 100')}, 2, '0') end as {r}"
+            for i, r in enumerate(TEST_RANKS)) + """
+        from {lineitem}""",
+    "bench_scores": f"""
+        select {_BCHROMOSOME} || '_' || {_text(_BSITE)} || '_' || {_BREF} || '/' || {_BALT} as Uploaded_variation,
+          case when o_orderpriority = '4-NOT SPECIFIED' then '-' else '0.' || {_text('o_custkey % 90 + 10')} end as SIFT,
+          case when o_orderpriority = '3-MEDIUM' then 'unknown' else 'benign(0.' || {_text('o_orderkey % 90 + 10')} || ')' end as PolyPhen,
+          '0.' || {_text('(o_custkey + o_orderkey) % 90 + 10')} as Condel, """ + ", ".join(
+            f"case when (o_orderkey + {i}) % 7 = 0 then '-' else '0.' || {_text(f'(o_custkey * {i + 2}) % 90 + 10')} end as {r}"
+            for i, r in enumerate(BENCH_RANKS)) + """
+        from {orders}""",
+    "test_symbols": f"""
+        select 'G' || {_text('s_suppkey - s_suppkey % 2')} as query,
+          case when s_nationkey = 3 then null else s_suppkey - s_suppkey % 2 end as entrezgene,
+          case s_nationkey % 8 when 0 then null when 1 then 'P0' || {_text('s_suppkey')} || ',Q1'
+            else 'P' || lpad({_text('s_suppkey')}, 5, '0') end as uniprot
+        from {{supplier}}""",
+    "bench_sheet": f"""
+        select 'N' || {_text('l_suppkey')} as ACC, case l_returnflag when 'A' then 'rat' else 'human' end as ORGANISM,
+          'm' || {_text('(l_suppkey * 5 + l_linenumber) % 30')} || ', m' || {_text('(l_suppkey + l_linenumber % 2) % 30')} as MODIFICATION_SUMMARY
+        from {{lineitem}}""",
     "hotspots": f"""
         select 'G' || {_text(_GENE)} || '_' || {_residue('l_suppkey')} || {_CODON} as codon_id
         from {{lineitem}} where l_extendedprice >= 90000""",

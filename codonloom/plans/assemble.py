@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,33 +87,90 @@ def annotation_request(df: DataFrame, reference: str = "Reference_Allele",
     return sort_genomic(request)
 
 
+@dataclass
+class GeneInputs:
+    """Inputs of the gene features, which all feature tables share."""
+
+    edges: DataFrame
+    id_map: DataFrame
+    sets: DataFrame
+    categories: DataFrame
+    sheet: DataFrame
+    key: DataFrame
+    ratios: DataFrame
+
+
+def with_gene_features(base: DataFrame, inputs: GeneInputs, gene: str, accession: str, symbol: str) -> DataFrame:
+    """Add the 47 gene and protein columns to rows that carry a gene id, an accession and a symbol.
+
+    Rows whose gene has no partners or whose protein is not listed drop out. The interaction
+    pairs feed four branches and are staged once. These columns are the wide ones: join them
+    last, after everything that only needs keys.
+    """
+    pairs = stage(interaction_pairs(inputs.edges, inputs.id_map), "pairs")
+    genes = degree(pairs).withColumnRenamed("times", schemas.DEGREE).join(
+        process_flags(pairs, inputs.sets, inputs.categories), F.col("gene") == F.col("group")).drop("group")
+    table = spread_join(base, genes, gene, "gene")
+    table = spread_join(table, modification_flags(inputs.sheet, inputs.key), accession, "ACC")
+    return spread_join(table, ratio_features(inputs.ratios), symbol, "gene", "left")
+
+
 def training_table(mutations: DataFrame, edges: DataFrame, id_map: DataFrame, sets: DataFrame,
                    categories: DataFrame, sheet: DataFrame, key: DataFrame, ratios: DataFrame,
-                   raw_scores: DataFrame, hotspots: DataFrame, dedup: bool = True) -> DataFrame:
+                   raw_scores: DataFrame, hotspots: DataFrame, dedup: bool = True, ranks=None) -> DataFrame:
     """Mutations with all features and the codon label, complete rows only.
 
-    Repeats of a variant collapse before any feature is joined, on the few columns the
-    joins need; after that only genes and proteins can be hot keys, and those joins are
-    spread. The interaction pairs feed four branches and are staged once. Partner lists
-    and group texts are never carried along.
+    Repeats of a variant collapse before anything is joined, on the few columns the joins
+    need. Scores and label come next, while rows are narrow, and the gene columns last, where
+    only genes and proteins can be hot keys and the joins are spread. `ranks` are the rank
+    columns to average (all there are, if not given).
     """
-    pairs = stage(interaction_pairs(edges, id_map), "pairs")
     base = with_variant_key(clean_missense(mutations, distinct=False), "Tumor_Seq_Allele1")
     base = with_codon_key(base).select(
         "Hugo_Symbol", "Entrez_Gene_Id", "SWISSPROT", "variant_key",
         F.col("codon_id").alias("mutation")).distinct()
-    genes = degree(pairs).withColumnRenamed("times", schemas.DEGREE).join(
-        process_flags(pairs, sets, categories), F.col("gene") == F.col("group")).drop("group")
-    table = spread_join(base, genes, "Entrez_Gene_Id", "gene")
-    proteins = stage(modification_flags(sheet, key), "proteins")
-    table = spread_join(table, proteins, "SWISSPROT", "ACC")
-    table = spread_join(table, ratio_features(ratios), "Hugo_Symbol", "gene", "left")
-    table = lookup(table, variant_scores(raw_scores), "variant_key", "Uploaded_variation")
+    table = lookup(base, clean.complete_rows(variant_scores(raw_scores, ranks)), "variant_key", "Uploaded_variation", "inner")
     table = label_by_codon(table, codon_labels(hotspots), dedup, key="mutation")
+    inputs = GeneInputs(edges, id_map, sets, categories, sheet, key, ratios)
+    table = with_gene_features(table, inputs, "Entrez_Gene_Id", "SWISSPROT", "Hugo_Symbol")
     return clean.complete_rows(
         table.select("mutation", "variant_key", *schemas.ALL_FEATURES, schemas.LABEL))
 
 
+def test_table(mutations: DataFrame, symbols: DataFrame, inputs: GeneInputs, raw_scores: DataFrame, ranks=None,
+               label: str = "class") -> DataFrame:
+    """Labelled mutations of another study with the features of the training table, complete rows only.
+
+    Gene id and accession come from the symbol. `ranks` should be the rank columns that the
+    training scores have as well (see `scores.rank_columns`), so that averages compare.
+    """
+    keyed = with_variant_key(mutations, "Reference_Allele").select("Hugo_Symbol", "HGVSp_Short", "variant_key", F.col(label).alias(schemas.LABEL))
+    ids = stage(symbols.filter(F.col("entrezgene").isNotNull() & (F.size("uniprot") == 1)).select(
+        F.col("query").alias("symbol"), "entrezgene", F.get("uniprot", F.lit(0)).alias("uniprot")).filter(
+            F.length("uniprot") == 6).distinct(), "symbols")
+    named = keyed.withColumn("mutation", F.concat_ws("_", "Hugo_Symbol", F.substr("HGVSp_Short", F.lit(3)))).drop("HGVSp_Short").distinct()
+    table = lookup(named, clean.complete_rows(variant_scores(raw_scores, ranks)), "variant_key", "Uploaded_variation", "inner")
+    table = spread_join(table, ids, "Hugo_Symbol", "symbol")
+    table = with_gene_features(table, inputs, "entrezgene", "uniprot", "Hugo_Symbol")
+    return clean.complete_rows(table.select("mutation", "variant_key", *schemas.ALL_FEATURES, schemas.LABEL))
+
+
+def benchmark_features(benchmark: DataFrame, coordinates: DataFrame, protein_map: DataFrame, ids: DataFrame, inputs: GeneInputs,
+                       raw_scores: DataFrame, competitor: DataFrame, ranks=None) -> DataFrame:
+    """Benchmark mutations with all features, their label and the competitor's score, complete rows only.
+
+    `ids` maps accessions to gene ids; `ranks` as in `test_table`.
+    """
+    placed = with_variant_key(benchmark_positions(benchmark, coordinates), "Reference_Allele", "Alternative_Allele")
+    scored = with_competitor_score(placed, competitor).select(
+        "Hugo_Symbol", "Mutation", "variant_key", F.col("label").alias(schemas.LABEL), "competitor_score")
+    table = lookup(scored, clean.complete_rows(variant_scores(raw_scores, ranks)), "variant_key", "Uploaded_variation", "inner")
+    table = with_gene_ids(table, protein_map, ids)
+    table = with_gene_features(table, inputs, "Entrez_Gene_ID", "UniProt_ID", "Hugo_Symbol")
+    table = recode_benchmark_label(table, schemas.LABEL).withColumn("mutation", F.concat_ws("_", "Hugo_Symbol", F.col("Mutation")))
+    return clean.complete_rows(table.select("mutation", "variant_key", *schemas.ALL_FEATURES, schemas.LABEL, "competitor_score"))
+
+
 def map_symbols(mutations: DataFrame, symbols: DataFrame) -> DataFrame:
     """Gene id and single protein accession for each symbol; the rest drops out."""
     ids = symbols.filter(F.col("entrezgene").isNotNull()).select("query", "entrezgene", "uniprot")
