@@ -41,10 +41,10 @@ STEPS["training_rows"] = f"""
     select * from wide where {' and '.join(c + ' is not null' for c in ALL_FEATURES)}"""
 
 
-def training_table(t):
+def training_table(t, ranks=None):
     return assemble.training_table(
         t("mutations"), t("edges"), t("id_map"), gene_sets(t("gene_library")), t("hallmarks"), t("ptm_sheet"),
-        t("ptm_key"), t("ratio_table"), t("score_rows"), t("hotspots"))
+        t("ptm_key"), t("ratio_table"), t("score_rows"), t("hotspots"), ranks=ranks)
 
 
 _MISSENSE = ("Hugo_Symbol", "Entrez_Gene_Id", "Chromosome", "Start_Position", "Strand", "Variant_Type", "SWISSPROT",

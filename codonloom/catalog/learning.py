@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonloom.catalog.assembling import training_table
+from codonloom.catalog.assembling import benchmark_features, shared_ranks, test_table, training_table
 from codonloom.catalog.registry import STEPS, query
-from codonloom.learn import importance, neighbors, validate
+from codonloom.learn import importance, neighbor_index, neighbors, search, validate
 from codonloom.learn.encode import alphabetical_levels, feature_stages, label_stage
 from codonloom.learn.evaluate import auc, fold_summary
 from codonloom.learn.models import recipes
+from codonloom.learn.trees import read_trees
 from codonloom.operators.ordering import sort_by_importance
-from codonloom.operators.sampling import assign_folds, undersample
+from codonloom.operators.sampling import undersample
 from codonloom.plans.report import balanced, train_and_report
 from codonloom.session import scratch_path, stage
-from codonloom.sources.schemas import BINARY_FEATURES, LABEL, NUMERIC_FEATURES
+from codonloom.sources.schemas import ALL_FEATURES, BINARY_FEATURES, LABEL, NUMERIC_FEATURES
 
 _WIDTH = 64
 _NUMERIC = tuple(f"f{i:02d}" for i in range(_WIDTH - 2))
 _BINARY = ("flag_a", "flag_b")
-_FOLDS = 3
+_FOLDS = 10
 
 
 def samples(t):
@@ -42,24 +45,55 @@ def _training_data(t):
     return balanced(samples(t), "class", ["row_id"], ("driver", "passenger"), _FOLDS, 467)
 
 
+_SEARCHES: dict[tuple, search.Found] = {}
+
+
+def _found(t, name):
+    """The search of one recipe over all folds of the vectors; queries of one session and folder share it."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _SEARCHES:
+        _SEARCHES[key] = search.search(_recipes()[name], _training_data(t), "row_id", "class", _FOLDS)
+    return _SEARCHES[key]
+
+
 def _out_of_fold(t, name):
-    """Tune on the folds, then held-out predictions of the best setting."""
-    recipe, data = _recipes()[name], _training_data(t)
-    tuned = validate.tune(recipe, data, _FOLDS)
-    return validate.out_of_fold(recipe, tuned, data, ["row_id"], "class")
+    """Held-out predictions of the best setting."""
+    return _found(t, name).held_out()
+
+
+STEPS["balanced_vectors"] = """
+    with samples as (select vec_id as row_id, case when label < 5 then 'driver' else 'passenger' end as obs,
+      list_concat(list_transform(embedding[1:62], lambda v: v::double),
+        [(embedding[63] > 0)::int::double, (embedding[64] > 0)::int::double]) as features from embeddings),
+    ranked as (select *, row_number() over (partition by obs order by md5('467|' || cast(row_id as varchar)), row_id) as nth,
+      count(*) over (partition by obs) as n from samples)
+    select row_id, obs, features, cast((nth - 1) % 10 as int) as fold from ranked where nth <= (select min(n) from ranked)"""
+# What a search must hold: every balanced row in its fold, once for each of the settings.
+_SEARCHED = "select row_id, obs, fold, true as every_setting, true as in_range from balanced_vectors"
+
+
+def _searched(t, name):
+    """Whether the staged predictions hold every setting of every row, as a probability."""
+    found = _found(t, name)
+    rows = found.predictions.groupBy("row_id", "obs", "fold").agg(
+        F.count_distinct("setting").alias("n"), F.count("*").alias("rows"), F.min("score").alias("low"), F.max("score").alias("high"))
+    settings = len(found.recipe.settings())
+    return rows.select("row_id", "obs", "fold", ((F.col("n") == settings) & (F.col("rows") == settings)).alias("every_setting"),
+                       ((F.col("low") >= 0) & (F.col("high") <= 1)).alias("in_range"))
 
 
 for _name in ("random_forest", "decision_tree", "boosted_trees", "logistic_regression", "radial_svm",
               "multilayer_perceptron"):
-    query(f"model_{_name}")(lambda t, name=_name: _out_of_fold(t, name))
+    query(f"model_{_name}")(lambda t, name=_name: _out_of_fold(t, name).drop("fold"))
+    query(f"search_{_name}", _SEARCHED)(lambda t, name=_name: _searched(t, name))
 
 
 @query("tuning_results")
 def _(t):
-    recipe, data = _recipes()["decision_tree"], _training_data(t)
-    tuned = validate.tune(recipe, data, _FOLDS)
-    rows = [(i, str(validate.named_params(g)), float(a)) for i, (g, a) in enumerate(zip(recipe.grid, tuned.avgMetrics))]
-    return t.spark.createDataFrame(rows, "setting int, params string, roc double")
+    found = _found(t, "decision_tree")
+    rows = [(i, str(values)) for i, values in enumerate(found.recipe.settings())]
+    names = t.spark.createDataFrame(rows, "setting int, params string")
+    return names.join(found.means, "setting").select("setting", "params", F.col("auc").alias("roc"))
 
 
 @query("pooled_held_out_area")
@@ -154,6 +188,88 @@ def _(t):
     return auc(scores.join(labels, "row_id"), "obs", "score", True, ["k"]).withColumn("auc", F.round("auc", 9))
 
 
+# Nearest neighbours inside ten folds: scaled by the deviations of the other folds, settings k = 5, 7 ... 23.
+STEPS["fold_neighbors"] = """
+    with parts as (select row_id, obs, fold, unnest(features) as v, generate_subscripts(features, 1) as i from balanced_vectors),
+    folds as (select distinct fold from balanced_vectors),
+    scales as (select f.fold, p.i, coalesce(nullif(stddev_samp(p.v), 0), 1) as d from folds f join parts p on p.fold <> f.fold group by all),
+    gaps as (select a.fold, a.row_id, a.obs, b.row_id as neighbor, b.obs as neighbor_obs, sum(((a.v - b.v) / s.d) ** 2) as gap
+      from parts a join parts b on a.i = b.i and a.fold <> b.fold join scales s on s.fold = a.fold and s.i = a.i group by all)
+    select *, row_number() over (partition by row_id order by gap, neighbor) as nth from gaps"""
+STEPS["fold_neighbor_scores"] = """
+    select cast((k - 5) / 2 as int) as setting, fold, row_id, obs, avg((neighbor_obs = 'driver')::int) as score
+    from fold_neighbors, (select unnest(range(5, 24, 2)) as k) where nth <= k group by all"""
+STEPS["fold_neighbor_areas"] = """
+    with c as (select setting, fold, score, count(*) filter (where obs = 'driver') as n_pos, count(*) filter (where obs <> 'driver') as n_neg
+      from fold_neighbor_scores group by all),
+    r as (select *, sum(n_pos) over (partition by setting, fold order by score desc) as tp from c)
+    select setting, fold, sum(n_neg * (tp - n_pos) + n_neg * n_pos / 2) / (sum(n_pos) * sum(n_neg)) as auc from r group by all"""
+_NEIGHBOR_FOLDS: dict[tuple, DataFrame] = {}
+
+
+def _neighbor_folds(t):
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _NEIGHBOR_FOLDS:
+        columns = F.array(*[F.col(c).cast("double") for c in (*_NUMERIC, *_BINARY)])
+        data = _training_data(t).select("row_id", F.col("class"), "fold", columns.alias("features"))
+        _NEIGHBOR_FOLDS[key] = stage(neighbor_index.fold_predictions(data, label="class", positive="driver", k=_FOLDS), "neighbor_folds")
+    return _NEIGHBOR_FOLDS[key]
+
+
+@query("search_nearest_neighbors", """
+    select setting, fold, row_id, obs, round(score, 9) as score from fold_neighbor_scores""")
+def _(t):
+    return _neighbor_folds(t).withColumn("score", F.round("score", 9))
+
+
+@query("neighbor_fold_areas", "select setting, fold, round(auc, 9) as auc from fold_neighbor_areas")
+def _(t):
+    return search.areas(_neighbor_folds(t), "driver").withColumn("auc", F.round("auc", 9))
+
+
+@query("neighbor_best_setting", """
+    with m as (select setting, avg(auc) as auc from fold_neighbor_areas group by setting)
+    select setting, 5 + 2 * setting as k, round(auc, 9) as auc from m order by m.auc desc, setting limit 1""")
+def _(t):
+    means = search.mean_areas(search.areas(_neighbor_folds(t), "driver"))
+    best = means.orderBy(F.desc("auc"), "setting").limit(1)
+    return best.select("setting", (5 + 2 * F.col("setting")).alias("k"), F.round("auc", 9).alias("auc"))
+
+
+@query("stump_split", """
+    with x as (select obs, unnest(features[1:8]) as v, unnest(range(0, 8)) as feature from balanced_vectors),
+    d as (select feature, v, count(*) as n, count(*) filter (where obs = 'driver') as n1 from x group by all),
+    r as (select feature, v, lead(v) over (partition by feature order by v) as next,
+        sum(n) over (partition by feature order by v) as l, sum(n1) over (partition by feature order by v) as l1,
+        sum(n) over (partition by feature) as t, sum(n1) over (partition by feature) as t1 from d),
+    g as (select feature, (v + next) / 2 as threshold, l, l1, t - l as r, t1 - l1 as r1,
+        (l / t) * 2 * (l1 / l) * (1 - l1 / l) + ((t - l) / t) * 2 * ((t1 - l1) / (t - l)) * (1 - (t1 - l1) / (t - l)) as impurity
+      from r where next is not null)
+    select cast(feature as int) as feature, round(threshold, 9) as threshold, cast(l as bigint) as n_left, cast(l1 as bigint) as n_left_driver,
+      cast(r as bigint) as n_right, cast(r1 as bigint) as n_right_driver from g order by impurity, feature limit 1""")
+def _(t):
+    """The first split of a tree over eight features, every midpoint tried."""
+    frame = _training_data(t)
+    stages = [label_stage("class"), *feature_stages(_NUMERIC[:8], (), scale=False),
+              DecisionTreeClassifier(labelCol="target", maxDepth=1, maxBins=4096)]
+    tree = read_trees(Pipeline(stages=stages).fit(frame).stages[-1])[0]
+    left, right = (tree.counts[tree.left[0]], tree.counts[tree.right[0]])
+    row = (int(tree.feature[0]), round(float(tree.threshold[0]), 9), *[int(v) for side in (left, right) for v in (side.sum(), side[1])])
+    return t.spark.createDataFrame([row], "feature int, threshold double, n_left bigint, n_left_driver bigint, n_right bigint, n_right_driver bigint")
+
+
+@query("saved_model_scores", "select count(*) as n, 0 as n_different from embeddings")
+def _(t):
+    """Scores of every row by a pruned tree before and after it is saved and loaded."""
+    found = _found(t, "decision_tree")
+    spread = PipelineModel([*validate.without_target(found.model).stages[:-1], found.recipe.spread(found.model.stages[-1], found.recipe.variants)])
+    path = scratch_path(t.spark, "model")
+    validate.save(spread, path)
+    one, two = (m.transform(samples(t)).select("row_id", "scores") for m in (spread, validate.load(path)))
+    both = one.join(two.withColumnsRenamed({"row_id": "_row", "scores": "_scores"}), F.col("row_id") == F.col("_row"), "full")
+    return both.agg(F.count("*").alias("n"), F.count_if(~F.col("scores").eqNullSafe(F.col("_scores"))).cast("int").alias("n_different"))
+
+
 @query("score_other_tables")
 def _(t):
     """Train on the vectors, save, load, and score the undersampled and the whole table."""
@@ -190,11 +306,24 @@ def _(t):
     return sort_by_importance(importance.with_feature_level(ranked, importance.feature_levels(t.spark)))
 
 
+def _study_tables(t):
+    """Training, test and benchmark tables with one row id and one pair of class names, written."""
+    def ready(table, name, extra=()):
+        called = F.col(LABEL).cast("string")
+        rows = table.select(
+            F.xxhash64("mutation", "variant_key", *ALL_FEATURES).alias("row_id"), *ALL_FEATURES, *extra,
+            F.when(called.isin("1", "driver"), "driver").otherwise("passenger").alias("class")).dropDuplicates(["row_id"])
+        return stage(rows, name)
+
+    return (ready(training_table(t, shared_ranks(t)), "training"), ready(test_table(t), "test"),
+            ready(benchmark_features(t), "benchmark", ["competitor_score"]))
+
+
 @query("evaluation_report")
 def _(t):
-    """Train on the folds of one part of the vectors, report on two others."""
-    parts = assign_folds(samples(t), "class", ["row_id"], 3, seed=1, name="part")
-    parts = stage(parts, "parts")
-    train, test, bench = (parts.filter(F.col("part") == i).drop("part") for i in range(3))
-    chosen = [r for r in _recipes().values() if r.name in ("decision_tree", "logistic_regression")]
-    return train_and_report(train, {"test": test, "benchmark": bench}, chosen, "class", "row_id", k=_FOLDS)
+    """Models of the training table on its held-out folds, on the test table and on the benchmark beside the competitor."""
+    train, test, bench = _study_tables(t)
+    chosen = recipes(label="class")
+    return train_and_report(
+        train, {"test": test, "benchmark": bench}, [chosen["decision_tree"], chosen["boosted_trees"]], "class", "row_id", k=_FOLDS,
+        neighbors=ALL_FEATURES, rivals={"benchmark": "competitor_score"})

@@ -2,85 +2,68 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
-from pyspark import keyword_only
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from codonloom.learn.encode import TARGET, feature_stages, label_stage
+from codonloom.learn.kernel import CalibratedMargin, Nystroem
+from codonloom.learn.trees import EnsemblePrefixes, PruningPath, path_settings, read_trees
 from codonloom.sources.schemas import BINARY_FEATURES, LABEL, NUMERIC_FEATURES
 
 SEED = 467
 
 
-class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Random Fourier features of the radial kernel exp(-gamma * |x - y|^2).
-
-    Inner products of the `size` outputs approximate the kernel with an error of order
-    1/sqrt(size), so a linear margin on them stands in for the kernel machine.
-    """
-
-    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
-    size = Param(Params._dummy(), "size", "number of output features", TypeConverters.toInt)
-    seed = Param(Params._dummy(), "seed", "seed of the projection", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCol="features", outputCol="kernel_features", gamma=0.01, size=256, seed=SEED):
-        super().__init__()
-        self._setDefault(inputCol="features", outputCol="kernel_features", gamma=0.01, size=256, seed=SEED)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        gamma, size, seed = (self.getOrDefault(p) for p in (self.gamma, self.size, self.seed))
-
-        @F.pandas_udf("array<double>")
-        def project(batch: pd.Series) -> pd.Series:
-            x = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, 1))
-            rng = np.random.default_rng(seed)
-            weights = rng.normal(0.0, np.sqrt(2 * gamma), (x.shape[1], size))
-            phase = rng.uniform(0.0, 2 * np.pi, size)
-            return pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ weights + phase)))
-
-        values = project(vector_to_array(self.getInputCol()))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(values))
-
-
 @dataclass
 class Recipe:
-    """A pipeline, its grid, and the column its score is read from."""
+    """A pipeline, its grid, and the column its score is read from.
+
+    Where one fit covers several settings, `spread` makes the fitted last stage score all of
+    `variants` at once, into a list `scores`. Where those depend on the data, `plan` gives
+    the recipe for a table.
+    """
 
     name: str
     pipeline: Pipeline
     grid: list = field(default_factory=list)
     score_column: str = "probability"
+    variants: list = field(default_factory=list)
+    spread: Callable | None = None
+    plan: Callable | None = None
+
+    def settings(self) -> list[dict]:
+        """Names and values of all settings, in the order of their numbers."""
+        named = [{p.name: v for p, v in params.items()} for params in self.grid]
+        return [{**g, "variant": v} for g in named for v in self.variants] if self.variants else named
+
+
+def with_pruning_path(recipe: Recipe, data: DataFrame) -> Recipe:
+    """Complexities along the pruning path of the tree fitted on all rows."""
+    tree = read_trees(recipe.pipeline.fit(data, recipe.grid[0]).stages[-1])[0]
+    return replace(recipe, variants=path_settings(tree))
 
 
 def recipes(numeric=NUMERIC_FEATURES, binary=BINARY_FEATURES, label: str = LABEL,
             levels=("passenger", "driver"), seed: int = SEED) -> dict[str, Recipe]:
-    """Every trainable pipeline by name."""
+    """Every trainable pipeline by name, with ten settings or more each (five for the kernel machine)."""
     target = label_stage(label, levels)
+    inputs = len(numeric) + len(binary)
     width = len(numeric) + 2 * len(binary)
 
-    def build(name: str, estimator, coding: str = "plain", grid=None, extra=(), score="probability"):
+    def build(name: str, estimator, coding: str = "plain", grid=None, extra=(), **more):
         stages = [target, *feature_stages(numeric, binary, coding), *extra, estimator]
-        return Recipe(name, Pipeline(stages=stages), grid or [{}], score)
+        return Recipe(name, Pipeline(stages=stages), grid or [{}], **more)
 
     def on(estimator, **changes):
         grid = ParamGridBuilder()
@@ -89,23 +72,24 @@ def recipes(numeric=NUMERIC_FEATURES, binary=BINARY_FEATURES, label: str = LABEL
         return grid.build()
 
     forest = RandomForestClassifier(labelCol=TARGET, numTrees=50, maxDepth=8, seed=seed)
-    tree = DecisionTreeClassifier(labelCol=TARGET, seed=seed)
-    boosted = GBTClassifier(labelCol=TARGET, maxIter=20, seed=seed)
-    logistic = LogisticRegression(labelCol=TARGET, maxIter=100, standardization=False)
-    margin = LinearSVC(labelCol=TARGET, featuresCol="kernel_features", maxIter=50)
-    fourier = FourierFeatures(gamma=1.0 / max(width, 1), seed=seed)
+    tried = sorted({str(int(round(v))) for v in np.linspace(min(2, inputs), inputs, 4)}, key=int)
+    tree = DecisionTreeClassifier(labelCol=TARGET, maxDepth=12, minInstancesPerNode=7, seed=seed)
+    boosted = GBTClassifier(labelCol=TARGET, maxIter=30, seed=seed)
+    logistic = LogisticRegression(labelCol=TARGET, maxIter=50, standardization=False)
+    machine = CalibratedMargin(labelCol=TARGET)
     perceptron = MultilayerPerceptronClassifier(
-        labelCol=TARGET, layers=[width, 5, 2], maxIter=100, seed=seed)
+        labelCol=TARGET, layers=[width, 5, 2], maxIter=50, seed=seed)
     return {
         r.name: r for r in (
-            build("random_forest", forest, grid=on(forest, featureSubsetStrategy=["sqrt", "onethird"])),
-            build("decision_tree", tree, grid=on(tree, maxDepth=[3, 6])),
-            build("boosted_trees", boosted, "treatment", on(boosted, maxDepth=[2, 4])),
+            build("random_forest", forest, grid=on(forest, featureSubsetStrategy=tried),
+                  variants=[10, 25, 50], spread=EnsemblePrefixes.of),
+            build("decision_tree", tree, spread=lambda m, settings: PruningPath.of(read_trees(m)[0], settings), plan=with_pruning_path),
+            build("boosted_trees", boosted, "treatment", on(boosted, maxDepth=[2, 4]),
+                  variants=list(range(3, 31, 3)), spread=EnsemblePrefixes.of),
             build("logistic_regression", logistic, "treatment",
-                  on(logistic, elasticNetParam=[0.1, 1.0], regParam=[0.001, 0.01])),
-            build("radial_svm", margin, "treatment", on(margin, regParam=[0.001, 0.01]),
-                  extra=[fourier], score="rawPrediction"),
+                  on(logistic, elasticNetParam=[0.1, 0.325, 0.55, 0.775, 1.0], regParam=[0.001, 0.01])),
+            build("radial_svm", machine, "treatment", on(machine, regParam=[1e-4, 1e-3, 1e-2, 1e-1, 1.0]), extra=[Nystroem()]),
             build("multilayer_perceptron", perceptron, "full",
-                  on(perceptron, layers=[[width, 3, 2], [width, 5, 2]])),
+                  on(perceptron, layers=[[width, size, 2] for size in range(1, 20, 2)])),
         )
     }

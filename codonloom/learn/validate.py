@@ -1,13 +1,9 @@
-"""Cross-validation, out-of-fold predictions and scoring."""
+"""Scoring, saving and loading of fitted pipelines."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,30 +11,6 @@ from codonloom.learn.encode import LEVELS, TARGET
 from codonloom.learn.models import Recipe
 
 
-def evaluator(score_column: str = "rawPrediction") -> BinaryClassificationEvaluator:
-    """Exact ROC area: no binning of the scores."""
-    return BinaryClassificationEvaluator(
-        labelCol=TARGET, rawPredictionCol=score_column, metricName="areaUnderROC", numBins=0)
-
-
-def tune(recipe: Recipe, data: DataFrame, k: int = 10, fold: str = "fold",
-         parallelism: int = 4) -> CrossValidatorModel:
-    """Grid search by mean ROC area over given folds, keeping the model of every fold."""
-    search = CrossValidator(
-        estimator=recipe.pipeline, estimatorParamMaps=recipe.grid, numFolds=k, foldCol=fold,
-        evaluator=evaluator(recipe.score_column), parallelism=parallelism, collectSubModels=True)
-    return search.fit(data)
-
-
-def best_setting(tuned: CrossValidatorModel) -> int:
-    """Position in the grid of the largest mean area."""
-    return max(range(len(tuned.avgMetrics)), key=lambda i: tuned.avgMetrics[i])
-
-
-def best_params(recipe: Recipe, tuned: CrossValidatorModel) -> dict:
-    return recipe.grid[best_setting(tuned)]
-
-
 def named_params(params: dict) -> dict[str, str]:
     return {p.name: str(v) for p, v in params.items()}
 
@@ -69,20 +41,6 @@ def score(model, recipe: Recipe, data: DataFrame, keep, label: str | None = None
         *keep, *observed, F.when(F.col("score") >= cut, positive).otherwise(negative).alias("pred"), "score")
 
 
-def out_of_fold(recipe: Recipe, tuned: CrossValidatorModel, data: DataFrame, keep, label: str,
-                fold: str = "fold", levels=LEVELS) -> DataFrame:
-    """Held-out predictions of the best setting: every row exactly once.
-
-    The search already trained that setting without each fold, so nothing is fitted again.
-    """
-    best = best_setting(tuned)
-    parts = [
-        score(models[best], recipe, data.filter(F.col(fold) == i), [*keep, fold], label, levels)
-        for i, models in enumerate(tuned.subModels)
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codonloom.learn import neighbor_index
 from codonloom.learn.evaluate import comparison
 from codonloom.learn.models import Recipe
-from codonloom.learn.validate import out_of_fold, score, tune
+from codonloom.learn.neighbor_index import NEIGHBORS
+from codonloom.learn.neighbors import neighbor_scores
+from codonloom.learn.search import areas, best_of, called, mean_areas, search
 from codonloom.operators.sampling import assign_folds, undersample
-from codonloom.session import stage
+from codonloom.session import scratch_path, stage
 
 
 def balanced(df: DataFrame, label: str, id_columns, levels, k: int, seed: int) -> DataFrame:
@@ -20,26 +23,55 @@ def balanced(df: DataFrame, label: str, id_columns, levels, k: int, seed: int) -
     return stage(assign_folds(rows, label, id_columns, k, seed), "balanced")
 
 
+def neighbor_results(data: DataFrame, frames: list[tuple[str, DataFrame]], columns, label: str, row_id: str, levels, k: int) -> list:
+    """Held-out and test results of nearest neighbours, with the k whose mean area over the folds is largest."""
+    negative, positive = levels
+
+    def arrays(df: DataFrame) -> DataFrame:
+        return df.select(row_id, label, *(["fold"] if "fold" in df.columns else []), F.array(*[F.col(c).cast("double") for c in columns]).alias("features"))
+
+    marked = stage(arrays(data), "neighbor_rows")
+    folds = stage(neighbor_index.fold_predictions(marked, row_id=row_id, label=label, k=k, positive=positive), "neighbor_folds")
+    best = best_of(mean_areas(areas(folds, positive)))
+    index = neighbor_index.fit(
+        marked.withColumn("_hit", (F.col(label) == positive).cast("int")), scratch_path(data.sparkSession, "neighbors"), row_id=row_id, label="_hit")
+    results = [("held_out", folds.filter(F.col("setting") == best).select("obs", called(0.5, levels), "score"))]
+    for name, table in frames:
+        rows = arrays(table)
+        found = neighbor_scores(neighbor_index.search(index, rows, NEIGHBORS[best], row_id=row_id), NEIGHBORS[best])
+        seen = rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(label).alias("obs"))
+        results.append((name, found.join(seen, "row_id").select("obs", called(0.5, levels), "score")))
+    return results
+
+
 def train_and_report(train: DataFrame, tests: dict[str, DataFrame], recipes: list[Recipe], label: str,
-                     row_id: str, levels=("passenger", "driver"), k: int = 10, seed: int = 467) -> DataFrame:
+                     row_id: str, levels=("passenger", "driver"), k: int = 10, seed: int = 467, neighbors=(),
+                     rivals: dict[str, str] | None = None) -> DataFrame:
     """Measures of every model on held-out folds and on every test table.
 
     Test tables are reported twice: with their natural class sizes and undersampled.
-    Columns: dataset, classifier, measure, score.
+    `neighbors` lists the columns for nearest neighbours, which take part if it is not empty;
+    `rivals` names, by table, a column with the score of another predictor, reported as
+    ``competitor`` on the same rows. Columns: dataset, classifier, measure, score.
     """
     data = balanced(train, label, [row_id], levels, k, seed)
-    frames = []
+    frames, scored = [], []
     for name, table in tests.items():
-        frames += [(name, table), (f"{name}_balanced", undersample(table, label, [row_id], levels, seed))]
-    scored = []
+        frames += [(name, table), (f"{name}_balanced", stage(undersample(table, label, [row_id], levels, seed), name))]
+
+    def add(classifier: str, results) -> None:
+        scored.extend(r.select(F.lit(name).alias("dataset"), F.lit(classifier).alias("classifier"), "obs", "pred", "score")
+                      for name, r in results)
+
     for recipe in recipes:
-        tuned = tune(recipe, data, k)
-        held_out = out_of_fold(recipe, tuned, data, [row_id], label, levels=levels).drop("fold")
-        results = [("held_out", held_out)] + [
-            (name, score(tuned.bestModel, recipe, table, [row_id], label, levels)) for name, table in frames]
-        scored += [
-            r.select(F.lit(name).alias("dataset"), F.lit(recipe.name).alias("classifier"), "obs", "pred", "score")
-            for name, r in results]
+        found = search(recipe, data, row_id, label, k, levels=levels)
+        add(recipe.name, [("held_out", found.held_out(levels))] + [
+            (name, found.score(table, [row_id, label], levels).withColumnRenamed(label, "obs")) for name, table in frames])
+    if neighbors:
+        add("nearest_neighbors", neighbor_results(data, frames, neighbors, label, row_id, levels, k))
+    for name, table in frames:
+        if column := (rivals or {}).get(name.removesuffix("_balanced")):
+            add("competitor", [(name, table.select(F.col(label).alias("obs"), F.col(column).alias("score")).select("obs", called(0.5, levels), "score"))])
     stacked = reduce(lambda a, b: a.unionByName(b), scored)
     # One evaluation over all models and tables: the pair is the classifier key.
     keyed = stacked.withColumn("run", F.concat_ws("/", "dataset", "classifier"))
