@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,8 @@ def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus_pipeline.packed(_table(spark, folder, "documents"))
+    docs = _table(spark, folder, "documents")
+    return packing.with_checksums(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

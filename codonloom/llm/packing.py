@@ -136,3 +136,8 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, quantum
     placed = rows.join(bases, ["source", "part"]).select("doc_id", "source", "ids", "n", (F.col("base") + F.col("before")).alias("at"))
     return placed.mapInArrow(batches, "doc_id bigint, source string, start bigint, length bigint, ids binary, "
                              "doc_tokens bigint, sequence_id bigint, `offset` bigint")
+
+
+def with_checksums(pieces: DataFrame) -> DataFrame:
+    """Pieces with the checksum of their ids instead of the ids."""
+    return pieces.select("doc_id", "source", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -297,7 +297,7 @@ def test_packing_query(spark, real):
 
 def test_packing_awkward_rows(spark, docs):
     kept = docs.filter("doc_id is not null and doc_id <> 6")
-    check_packing(corpus_pipeline.packed(kept).collect(), {r[0]: r[1] for r in AWKWARD if r[0] not in (None, 6)})
+    check_packing(corpus_pipeline.pack_windows(spark, kept, "").collect(), {r[0]: r[1] for r in AWKWARD if r[0] not in (None, 6)})
 
 
 def test_quanta_take_turns_like_a_sorted_list():
