@@ -74,7 +74,7 @@ def recipes(numeric=NUMERIC_FEATURES, binary=BINARY_FEATURES, label: str = LABEL
     forest = RandomForestClassifier(labelCol=TARGET, numTrees=50, maxDepth=8, seed=seed)
     tried = sorted({str(int(round(v))) for v in np.linspace(min(2, inputs), inputs, 4)}, key=int)
     tree = DecisionTreeClassifier(labelCol=TARGET, maxDepth=12, minInstancesPerNode=7, seed=seed)
-    boosted = GBTClassifier(labelCol=TARGET, maxIter=30, seed=seed)
+    boosted = GBTClassifier(labelCol=TARGET, maxIter=20, seed=seed)
     logistic = LogisticRegression(labelCol=TARGET, maxIter=50, standardization=False)
     machine = CalibratedMargin(labelCol=TARGET)
     perceptron = MultilayerPerceptronClassifier(
@@ -85,7 +85,7 @@ def recipes(numeric=NUMERIC_FEATURES, binary=BINARY_FEATURES, label: str = LABEL
                   variants=[10, 25, 50], spread=EnsemblePrefixes.of),
             build("decision_tree", tree, spread=lambda m, settings: PruningPath.of(read_trees(m)[0], settings), plan=with_pruning_path),
             build("boosted_trees", boosted, "treatment", on(boosted, maxDepth=[2, 4]),
-                  variants=list(range(3, 31, 3)), spread=EnsemblePrefixes.of),
+                  variants=list(range(2, 21, 2)), spread=EnsemblePrefixes.of),
             build("logistic_regression", logistic, "treatment",
                   on(logistic, elasticNetParam=[0.1, 0.325, 0.55, 0.775, 1.0], regParam=[0.001, 0.01])),
             build("radial_svm", machine, "treatment", on(machine, regParam=[1e-4, 1e-3, 1e-2, 1e-1, 1.0]), extra=[Nystroem()]),

@@ -11,10 +11,6 @@ from codonloom.learn.encode import LEVELS, TARGET
 from codonloom.learn.models import Recipe
 
 
-def named_params(params: dict) -> dict[str, str]:
-    return {p.name: str(v) for p, v in params.items()}
-
-
 def score_expression(score_column: str) -> Column:
     """Score of the positive class."""
     return F.get(vector_to_array(score_column), F.lit(1))
