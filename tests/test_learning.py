@@ -90,3 +90,21 @@ def test_nearest_on_folds_of_one_table(spark):
     assert found == {(0, 1), (4, 3), (8, 7), (12, 11), (16, 15)}
     own = neighbors.nearest(table, table, 1, skip_same_id=True).collect()
     assert len(own) == 20 and all(r.distance == 1.0 for r in own)
+
+
+def test_a_saved_model_knows_what_it_can_score(spark, data, tmp_path):
+    recipe = recipes(NUMERIC, BINARY, "y")["decision_tree"]
+    model, path = recipe.pipeline.fit(data, recipe.grid[0]), str(tmp_path / "m")
+    validate.save(model, path, validate.Signature(NUMERIC, BINARY))
+    again, signature = validate.load(path), validate.load_signature(spark, path)
+    assert signature == validate.Signature(NUMERIC, BINARY)
+    want = validate.score(model, recipe, data, ["row_id"])
+    other = data.select("flag", F.col("b").alias("beta"), "row_id", F.col("a").cast("float").cast("double").alias("a"), F.lit("x").alias("more"))
+    fitted = signature.fitted(other, {"beta": "b"})
+    assert fitted.schema["flag"].dataType.simpleString() == "int" and fitted.columns[:2] == ["flag", "b"]
+    got = validate.score(again, recipe, fitted, ["row_id"])
+    assert got.count() == 240 and got.join(want.withColumnRenamed("score", "s"), "row_id").filter("abs(score - s) > 0.2").count() < 24
+    for bad, told in ((data.drop("a"), "a is missing"), (data.withColumn("b", F.lit("x")), "b is string"),
+                      (data.withColumn("flag", F.col("flag") + 1), "flag holds other values than 0 and 1 in 48 rows")):
+        with pytest.raises(ValueError, match=told):
+            signature.fitted(bad)
