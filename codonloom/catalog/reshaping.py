@@ -70,6 +70,19 @@ def _(t):
     return reshape.category_counts(t("mutations"), "Hugo_Symbol", "Variant_Type", {"SNP": "snp", "INS": "ins"}, "na_type")
 
 
+_TYPES = ("DEL", "DNP", "INS", "ONP", "SNP", "TNP")
+
+
+@query("pivot_all_categories", "select Hugo_Symbol, " + ", ".join(
+    f"count(*) filter (where Variant_Type = '{v}') as {v.lower()}" for v in _TYPES) + """,
+      count(*) filter (where Variant_Type is null) as na from mutations group by Hugo_Symbol""")
+def _(t):
+    """Every category that occurs becomes a column, none of them listed beforehand."""
+    mutations = t("mutations")
+    names, missing = reshape.discovered(mutations, "Variant_Type")
+    return reshape.category_counts(mutations, "Hugo_Symbol", "Variant_Type", names, missing)
+
+
 @query("pivot_composite_category", "select l_suppkey, " + ", ".join(
     f"count(*) filter (where l_returnflag || '_' || l_linestatus = '{a}_{b}') as {a.lower()}_{b.lower()}"
     for a in "ANR" for b in "FO") + " from lineitem group by l_suppkey")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,30 @@ def present_members(*columns: str) -> Column:
     return F.array_compact(F.array(*columns))
 
 
+def discovered(df: DataFrame, category, limit: int = 1000, missing_name: str = "na") -> tuple[dict[str, str], str | None]:
+    """Names for all categories that occur, in order, and one for the missing category where it occurs.
+
+    One distinct pass that brings at most `limit` + 1 values to the driver; more categories
+    than `limit` are an error. Column names are the values in lower case with everything but
+    letters and digits replaced, numbered where two would be the same.
+    """
+    value = F.col(category) if isinstance(category, str) else category
+    found = [r["v"] for r in df.select(value.cast("string").alias("v")).distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"over {limit} categories")
+    names: dict[str, str] = {}
+    taken = {missing_name} if None in found else set()
+    for v in sorted(v for v in found if v is not None):
+        plain = re.sub(r"[^0-9a-z]+", "_", v.lower()).strip("_") or "blank"
+        name, n = plain, 1
+        while name in taken:
+            n += 1
+            name = f"{plain}_{n}"
+        names[v] = name
+        taken.add(name)
+    return names, missing_name if None in found else None
+
+
 def category_counts(df: DataFrame, key: str, category, names: dict[str, str],
                     missing_name: str | None = None) -> DataFrame:
     """Rows per key and category as one column per listed category, 0 where there are none.

@@ -175,3 +175,17 @@ def test_equal_rows_of_a_hot_key_are_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_categories_are_discovered_whole(spark):
+    from codonloom.operators import reshape
+
+    rows = spark.createDataFrame([("a", "di-methyl"), ("a", "di methyl"), ("b", None), ("b", "NA"), ("b", "-"), ("a", "di-methyl")], "k string, c string")
+    names, missing = reshape.discovered(rows, "c")
+    assert names == {"-": "blank", "NA": "na_2", "di methyl": "di_methyl", "di-methyl": "di_methyl_2"} and missing == "na"
+    got = {r.k: r.asDict() for r in reshape.category_counts(rows, "k", "c", names, missing).collect()}
+    assert got["a"]["di_methyl_2"] == 2 and got["a"]["di_methyl"] == 1 and got["b"]["na"] == got["b"]["na_2"] == got["b"]["blank"] == 1
+    assert sum(sum(v for n, v in r.items() if n != "k") for r in got.values()) == 6
+    assert reshape.discovered(rows.limit(0), "c") == ({}, None)
+    with pytest.raises(ValueError):
+        reshape.discovered(rows, "c", limit=3)
