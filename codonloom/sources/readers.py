@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codonloom.functions.numeric import finite
+from codonloom.session import stage
 from codonloom.sources import schemas
 
 
@@ -21,6 +22,35 @@ def read_delimited(spark: SparkSession, path, schema: T.StructType, sep: str = "
     )
 
 
+def unescaped(df: DataFrame) -> DataFrame:
+    """Text columns of a file that was written with `escape`, as they were."""
+    def raw(c: str):
+        # Backslash pairs go first, to a character that text does not hold, so that `\\\\t` is no tab.
+        value = F.replace(F.col(c), F.lit("\\\\"), F.lit("\ue000"))
+        for code, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\ue000", "\\")):
+            value = F.replace(value, F.lit(code), F.lit(char))
+        return value
+
+    return df.withColumns({f.name: raw(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)})
+
+
+def read_with_rejects(spark: SparkSession, path, schema: T.StructType, sep: str = "\t", header: bool = True,
+                      quote: str = "") -> tuple[DataFrame, DataFrame]:
+    """Rows that fit the schema, and (`file_name`, `line`) of the lines that do not.
+
+    Lines with other field counts or values of another type are set aside instead of ending
+    the read. Files are read once, into a written table that both results come from.
+    """
+    read = (
+        spark.read.schema(T.StructType([*schema.fields, T.StructField("_line", T.StringType())]))
+        .option("sep", sep).option("header", header).option("quote", quote).option("nullValue", "NA")
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path)
+    )
+    held = stage(read.select("*", F.col("_metadata.file_name").alias("_file")), "read")
+    good = held.filter(F.col("_line").isNull()).select(*schema.names)
+    return good, held.filter(F.col("_line").isNotNull()).select(F.col("_file").alias("file_name"), F.col("_line").alias("line"))
+
+
 def read_tsv(spark: SparkSession, path, schema: T.StructType, header: bool = True) -> DataFrame:
     return read_delimited(spark, path, schema, header=header)
 
@@ -43,7 +73,7 @@ def read_row_named(spark: SparkSession, path, schema: T.StructType) -> DataFrame
     return (
         spark.read.schema(schema)
         .option("sep", "\t").option("header", True).option("enforceSchema", True)
-        .option("quote", "").option("nullValue", "NA")
+        .option("quote", "").option("nullValue", "NA").option("mode", "FAILFAST")
         .csv(path)
     )
 

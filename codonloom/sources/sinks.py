@@ -3,13 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codonloom.operators.ordering import hash_rank
 
 
+def checked(df: DataFrame, sep: str) -> DataFrame:
+    """Text columns whose values would break a line apart stop the write with an error."""
+    def safe(c: str):
+        broken = F.col(c).contains(sep) | F.col(c).contains("\n") | F.col(c).contains("\r")
+        return F.when(broken, F.raise_error(F.concat(F.lit(f"column {c} holds a separator or line break: "), F.left(c, F.lit(80))))).otherwise(F.col(c))
+
+    return df.withColumns({f.name: safe(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)})
+
+
+def escaped(df: DataFrame) -> DataFrame:
+    """Text columns with backslash, tab, line feed and carriage return written as two characters each."""
+    def plain(c: str):
+        value = F.col(c)
+        for raw, code in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+            value = F.replace(value, F.lit(raw), F.lit(code))
+        return value
+
+    return df.withColumns({f.name: plain(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)})
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = True,
-                    quote: str = "", partition_by: tuple[str, ...] = ()) -> None:
-    """Delimited text, unquoted by default; a missing value is written `NA`."""
+                    quote: str = "", partition_by: tuple[str, ...] = (), escape: bool = False) -> None:
+    """Delimited text, unquoted by default; a missing value is written `NA`.
+
+    A value that holds the separator or a line break is an error, unless `escape` writes tabs
+    and breaks as two characters (see `readers.unescaped`).
+    """
+    if not quote:
+        df = checked(escaped(df) if escape else df, sep)
     writer = (
         df.write.mode("overwrite")
         .option("sep", sep).option("header", header).option("quote", quote)
@@ -20,8 +48,8 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = Tr
     writer.csv(path)
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
-    write_delimited(df, path, header=header)
+def write_tsv(df: DataFrame, path: str, header: bool = True, escape: bool = False) -> None:
+    write_delimited(df, path, header=header, escape=escape)
 
 
 def write_spaced(df: DataFrame, path: str, header: bool = True) -> None:

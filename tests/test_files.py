@@ -96,3 +96,33 @@ def test_final_table_shape():
     assert len(schemas.ALL_FEATURES) == 51 and len(schemas.GENE_FEATURES) == 47
     assert len(schemas.NUMERIC_FEATURES) == 29 and len(schemas.BINARY_FEATURES) == 22
     assert len(schemas.MUTATION_COLUMNS) == 45
+
+
+def test_values_with_separators_are_escaped_or_refused(spark, tmp_path):
+    rows = [(1, "a\tb"), (2, "line\nbreak\r"), (3, "back\\\\slash\\t"), (4, None), (5, "plain \\")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    with pytest.raises(Exception, match="column text holds a separator"):
+        sinks.write_tsv(df, str(tmp_path / "refused"))
+    sinks.write_tsv(df, str(tmp_path / "escaped"), escape=True)
+    back = readers.unescaped(readers.read_tsv(spark, str(tmp_path / "escaped"), df.schema))
+    assert sorted((r.id, r.text) for r in back.collect()) == rows
+    spaced = spark.createDataFrame([("a b",)], "v string")
+    with pytest.raises(Exception, match="separator"):
+        sinks.write_spaced(spaced, str(tmp_path / "spaced"))
+
+
+def test_malformed_lines_are_set_aside(spark, tmp_path):
+    (tmp_path / "one.tsv").write_text("id\tname\n1\ta\nx\tb\n3\n4\td\te\n5\tNA\n")
+    (tmp_path / "two.tsv").write_text("id\tname\n6\tf\n\n7.5\tg\n")
+    schema = schemas.fields(id="int", name="string")
+    good, bad = readers.read_with_rejects(spark, [str(tmp_path / "one.tsv"), str(tmp_path / "two.tsv")], schema)
+    assert sorted((r.id, r.name) for r in good.collect()) == [(1, "a"), (5, None), (6, "f")]
+    assert sorted((r.file_name, r.line) for r in bad.collect()) == [
+        ("one.tsv", "3"), ("one.tsv", "4\td\te"), ("one.tsv", "x\tb"), ("two.tsv", "7.5\tg")]
+
+
+def test_short_header_files_are_read_strictly(spark, tmp_path):
+    (tmp_path / "named.txt").write_text("name\tn\n1\ta\t2\n2\tb\tx\n")
+    frame = readers.read_row_named(spark, str(tmp_path / "named.txt"), schemas.fields(row="string", name="string", n="int"))
+    with pytest.raises(Exception, match="MALFORMED"):
+        frame.collect()
