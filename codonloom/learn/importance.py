@@ -10,22 +10,27 @@ from pyspark.sql import functions as F
 from codonloom.learn.evaluate import auc
 from codonloom.learn.validate import score_expression
 from codonloom.operators.ordering import hash_rank
+from codonloom.session import stage
 from codonloom.sources.schemas import GENE_FEATURES, VARIANT_SCORES
 
 
+def spread_to_100(table: DataFrame, column: str = "importance", target: str = "overall") -> DataFrame:
+    """Stretch a column so that its least value becomes 0 and its largest 100; all equal becomes 0."""
+    low, top = table.agg(F.min(column)).scalar(), table.agg(F.max(column)).scalar()
+    return table.withColumn(target, F.coalesce(100 * F.try_divide(F.col(column) - low, top - low), F.lit(0.0)))
+
+
 def impurity_importance(spark: SparkSession, model, names) -> DataFrame:
-    """Importance of each input of a tree model, the largest set to 100."""
+    """Importance of each input of a tree model: as the model has it, and `overall` from 0 to 100."""
     values = [float(v) for v in model.stages[-1].featureImportances.toArray()]
-    table = spark.createDataFrame(list(zip(names, values)), "feature_name string, importance double")
-    top = table.agg(F.max("importance").alias("m")).scalar()
-    return table.withColumn("overall", 100 * F.try_divide(F.col("importance"), top))
+    return spread_to_100(spark.createDataFrame(list(zip(names, values)), "feature_name string, importance double"))
 
 
 def permutation_importance(model, data: DataFrame, names, row_id: str, label: str, positive,
                            score_column: str = "probability", seed: int = 0) -> DataFrame:
-    """Drop of the ROC area when one feature takes the values of other rows.
+    """Drop of the ROC area when one feature takes the values of other rows, raw and from 0 to 100.
 
-    Two seeded hash ranks pair every row with a donor row: the join on rank is a random
+    `data` should be rows the model was not fitted on. Two seeded hash ranks pair every row with a donor row: the join on rank is a random
     permutation of the table. One pass then scores each row once per feature, with only
     that feature taken from the donor.
     """
@@ -41,10 +46,8 @@ def permutation_importance(model, data: DataFrame, names, row_id: str, label: st
     scored = model.transform(mixed).select("feature_name", label, score_expression(score_column).alias("score"))
     areas = auc(scored, label, "score", positive, ["feature_name"])
     base = areas.filter(F.col("feature_name") == "").select("auc").scalar()
-    return (
-        areas.filter(F.col("feature_name") != "")
-        .select("feature_name", (base - F.col("auc")).alias("overall"))
-    )
+    drops = areas.filter(F.col("feature_name") != "").select("feature_name", (base - F.col("auc")).alias("importance"))
+    return spread_to_100(stage(drops, "drops"))
 
 
 def feature_levels(spark: SparkSession) -> DataFrame:

@@ -58,9 +58,11 @@ def test_unlabelled_rows_are_scored(data):
 def test_permutation_finds_the_informative_feature(data):
     recipe = recipes(NUMERIC, BINARY, "y")["logistic_regression"]
     model = recipe.pipeline.fit(data, recipe.grid[0])
-    got = {r.feature_name: r.overall for r in importance.permutation_importance(
-        model, data, (*NUMERIC, *BINARY), "row_id", "y", "driver").collect()}
+    rows = importance.permutation_importance(model, data, (*NUMERIC, *BINARY), "row_id", "y", "driver").collect()
+    got = {r.feature_name: r.importance for r in rows}
     assert got["a"] > 0.2 and abs(got["b"]) < 0.1
+    overall = {r.feature_name: r.overall for r in rows}
+    assert overall["a"] == 100.0 and min(overall.values()) == 0.0
 
 
 def test_impurity_is_scaled_to_100(spark, data):
@@ -68,6 +70,10 @@ def test_impurity_is_scaled_to_100(spark, data):
     model = recipe.pipeline.fit(data, recipe.grid[0])
     got = importance.impurity_importance(spark, model, (*NUMERIC, *BINARY)).orderBy(F.desc("overall")).first()
     assert got.feature_name == "a" and got.overall == pytest.approx(100.0)
+    flat = importance.spread_to_100(spark.createDataFrame([("x", 2.0), ("y", 2.0), ("z", 2.0)], "feature_name string, importance double"))
+    assert {r.overall for r in flat.collect()} == {0.0}
+    some = importance.spread_to_100(spark.createDataFrame([("x", -1.0), ("y", 1.0), ("z", 3.0)], "feature_name string, importance double"))
+    assert {r.feature_name: r.overall for r in some.collect()} == {"x": 0.0, "y": 50.0, "z": 100.0}
 
 
 @pytest.mark.parametrize("coding, width", [("plain", 51), ("treatment", 51), ("full", 73)])
