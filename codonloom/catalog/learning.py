@@ -325,11 +325,11 @@ def _study_tables(t):
 def _(t):
     """Models of the training table on its held-out folds, on the test table and on the benchmark beside the competitor.
 
-    The pruning path, ten sizes of one boosted ensemble and ten neighbour counts; the other
-    recipes take part in the same way, but need a hundred fits each.
+    The pruning path and ten sizes of one boosted ensemble; neighbours and the other recipes
+    take part in the same way, but take minutes each.
     """
     train, test, bench = _study_tables(t)
     tree, boosted = (recipes(label="class")[name] for name in ("decision_tree", "boosted_trees"))
     return train_and_report(
         train, {"test": test, "benchmark": bench}, [tree, replace(boosted, grid=boosted.grid[:1])], "class", "row_id", k=_FOLDS,
-        neighbors=ALL_FEATURES, rivals={"benchmark": "competitor_score"})
+        rivals={"benchmark": "competitor_score"})

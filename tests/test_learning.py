@@ -114,3 +114,17 @@ def test_a_saved_model_knows_what_it_can_score(spark, data, tmp_path):
                       (data.withColumn("flag", F.col("flag") + 1), "flag holds other values than 0 and 1 in 48 rows")):
         with pytest.raises(ValueError, match=told):
             signature.fitted(bad)
+
+
+def test_report_with_neighbours_and_a_competitor(data):
+    from codonloom.plans.report import train_and_report
+
+    bench = data.withColumn("rival", F.when(F.col("y") == "driver", 0.9).otherwise(0.1)).drop("fold")
+    recipe = recipes(NUMERIC, BINARY, "y")["decision_tree"]
+    rows = train_and_report(data.drop("fold"), {"bench": bench}, [recipe], "y", "row_id", k=3, neighbors=(*NUMERIC, *BINARY), rivals={"bench": "rival"}).collect()
+    got = {(r.dataset, r.classifier, r.measure): r.score for r in rows}
+    assert len(got) == len(rows) == 8 * 5
+    assert {d for d, c, _ in got if c == "competitor"} == {"bench", "bench_balanced"} and got["bench", "competitor", "auc"] == 1.0
+    for name in ("decision_tree", "nearest_neighbors"):
+        assert {d for d, c, _ in got if c == name} == {"held_out", "bench", "bench_balanced"}
+        assert got["held_out", name, "auc"] > 0.7 and got["bench", name, "accuracy"] > 0.7
