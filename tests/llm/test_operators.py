@@ -248,17 +248,62 @@ def test_lm_scores_prefer_the_target(spark, docs):
     assert lm.score(docs, spark.createDataFrame([], "doc_id bigint")).filter("abs(score) > 1e-6").count() == 0
 
 
-def test_trigram_counts_and_losses(spark):
-    texts = ["abab", "", "baé"]
-    table = lm.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"), 4)
-    assert {c: int(table[ord(c)]) for c in "abé"} == {"a": 2, "b": 3, "é": 1}
-    frame = spark.createDataFrame([(t, i == 0) for i, t in enumerate(texts)], "text string, in_target boolean")
-    counts = {r.gram: (r.n, r.n_target) for r in lm.count(frame, table, 4).collect()}
-    want = collections.Counter(int(g) for t in texts for g in lm.trigrams(t.encode(), table, 4))
-    assert {g: n for g, (n, _) in counts.items()} == want and sum(n for _, n in counts.values()) == 5
-    held = np.zeros(64)
-    held[list(counts)] = [n for n, _ in counts.values()]
-    assert np.allclose((2.0 ** -lm.losses(held, 4)).reshape(16, 4).sum(1), 1, atol=1e-5)
+def trigram_losses(texts):
+    """Bits of every trigram of the texts after Witten-Bell smoothing, from the texts alone."""
+    points = [["^", "^", *t, "^"] for t in texts]
+    vocabulary = {c for p in points for c in p}
+
+    def bits(counts):
+        def level(grams, low):
+            total, kinds = collections.Counter(), collections.Counter()
+            for g, n in grams.items():
+                total[g[:-1]] += n
+                kinds[g[:-1]] += min(n, 1)
+            return {g: (n + (kinds[g[:-1]] if total[g[:-1]] else 1) * low[g[1:]]) / (total[g[:-1]] + (kinds[g[:-1]] if total[g[:-1]] else 1))
+                    for g, n in grams.items()}
+
+        one, two = collections.Counter(), collections.Counter()
+        for g, n in counts.items():
+            one[g[2:]] += n
+            two[g[1:]] += n
+        return {g: -np.log2(p) for g, p in level(counts, level(two, level(one, {(): 1 / len(vocabulary)}))).items()}
+
+    return points, bits
+
+
+@pytest.mark.parametrize("block_bytes", [1, 40, lm.BLOCK_BYTES])
+def test_losses_and_scores_by_brute_force(spark, block_bytes):
+    texts = ["abab abba", "", "baé 漢字漢", "abab abba", "zz" * 30, "漢字 ab"]
+    target = {0, 3, 5}
+    points, bits = trigram_losses(texts)
+    counts = [collections.Counter(zip(p, p[1:], p[2:])) for p in points]
+    every = sum(counts, collections.Counter())
+    chosen = sum((c for i, c in enumerate(counts) if i in target), collections.Counter())
+    ratio = sum(chosen.values()) / sum(every.values())
+
+    def models(i):
+        """Without what text i itself has added."""
+        return (bits({g: float(chosen[g] - (counts[i][g] if i in target else 0)) for g in every}),
+                bits({g: (every[g] - counts[i][g]) * ratio for g in every}))
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumns(
+        {c: F.lit(1) for c in ("row", "block", "gram", "in_target")}).repartition(2)
+    keep = ("doc_id", "row", "block", "in_target")
+    rows = lm.score(frame, spark.createDataFrame([(i,) for i in target], "doc_id int"), keep, block_bytes).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts))) and rows[0]["block"] == 1
+    for r in rows:
+        grams = list(zip(points[r.doc_id], points[r.doc_id][1:], points[r.doc_id][2:]))
+        want = [np.mean([m[g] for g in grams]) for m in models(r.doc_id)]
+        assert r.n_tokens == len(grams) and np.allclose([r.target_loss, r.background_loss, r.score], [*want, want[0] - want[1]])
+
+
+def test_texts_of_many_characters_have_losses_of_their_own(spark):
+    draw = np.random.default_rng(5)
+    han = ["".join(map(chr, draw.integers(0x4E00, 0x4E00 + 3000, 400))) for _ in range(200)]
+    rows = list(enumerate([*han, *["the quick brown fox jumps over the lazy dog again " * 4] * 400]))
+    got = lm.score(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(0,)], "doc_id int"))
+    means = {r.han: r.loss for r in got.groupBy((F.col("doc_id") < 200).alias("han")).agg(F.avg("background_loss").alias("loss")).collect()}
+    assert means[True] > 8 and means[False] < 1
 
 
 def check_packing(rows, texts):
