@@ -78,7 +78,9 @@ def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    return packing.with_checksums(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    special = packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.with_checksums(packing.pack(
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special=special))
 
 
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,27 +27,34 @@ WINDOW, QUANTUM, END_ID = 2048, 128, 1
 
 
 @functools.cache
-def encoder(path: str, pattern: str):
-    """The byte-level vocabulary at `path` (ranks); special strings are ordinary text."""
+def encoder(path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
+    """The byte-level vocabulary at `path` (ranks), with the `special` strings as tokens of their own."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
-def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int = END_ID) -> DataFrame:
+def special_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """Strings and ids that the tokenizer file at `path` (JSON) sets apart from ordinary text."""
+    with open(path, encoding="utf-8") as file:
+        return tuple((t["content"], t["id"]) for t in json.load(file)["added_tokens"])
+
+
+def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int = END_ID, special: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """`doc_id`, `source`, `ids` (unsigned 16-bit, end id included), `n`, and where in the
     queue of its source within this partition (`part`) the document starts (`before`).
 
-    A missing text is empty and has the end id alone; a missing source is a source.
+    A missing text is empty and has the end id alone; a missing source is a source. Where a
+    text holds a `special` string, it gets its id there.
     """
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, filled = encoder(path, pattern), TaskContext.get().partitionId(), {}
+        code, part, filled = encoder(path, pattern, special), TaskContext.get().partitionId(), {}
         for batch in rows:
             sources, packed, sizes, before = batch.column(1).to_pylist(), [], [], []
             for text, source in zip(batch.column(2), sources, strict=True):
-                ids = np.array([*code.encode_ordinary(text.as_py()), end_id], np.uint16)
+                ids = np.array([*code.encode(text.as_py(), allowed_special="all"), end_id], np.uint16)
                 packed.append(ids.tobytes())
                 sizes.append(len(ids))
                 before.append(filled.get(source, 0))
@@ -100,7 +108,8 @@ def pieces_of(source: np.ndarray, start: np.ndarray, size: np.ndarray, totals: n
     return doc[heads], begin[heads], lengths, sequence[heads], offset[heads]
 
 
-def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, quantum: int = QUANTUM) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, quantum: int = QUANTUM,
+         special: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Pieces of all documents: `doc_id`, `source`, `start`, `length`, `ids` (unsigned 32-bit,
     little-endian), `doc_tokens`, `sequence_id`, `offset`.
 
@@ -108,7 +117,7 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, quantum
     within a queue is that of the input partitions. Only one number per source reaches the
     driver; token ids are written once and never shuffled. No documents give no pieces.
     """
-    rows = stage(tokenized(docs, path, pattern), "tokens")
+    rows = stage(tokenized(docs, path, pattern, special=special), "tokens")
     parts = rows.groupBy("source", "part").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stage(parts.select("source", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "bases")

@@ -308,7 +308,6 @@ def test_texts_of_many_characters_have_losses_of_their_own(spark):
 
 def check_packing(rows, texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {d: [*e.ids, 1] for d, e in zip(texts, t.encode_batch([x or "" for x in texts.values()], add_special_tokens=False), strict=True)}
     at, filled = collections.Counter(), collections.Counter()
     for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
@@ -345,6 +344,13 @@ def test_packing_awkward_rows(spark, docs):
     check_packing(corpus_pipeline.pack_windows(spark, kept, "").collect(), {r[0]: r[1] for r in AWKWARD if r[0] not in (None, 6)})
 
 
+def test_special_strings_have_the_ids_of_the_tokenizer(spark, tmp_path):
+    texts = {1: "one<|endoftext|>two", 2: "<|endoftext|><|endoftext|> <|endoftext|>\n", 3: "<|endoftext |> <|end", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumn("source", F.lit("a")).write.parquet(f"{tmp_path}/documents.parquet")
+    _, ids = check_packing(entries.op9_packing(spark, str(tmp_path)).collect(), texts)
+    assert ids[1].count(50256) == 1 and ids[2].count(50256) == 3 and 50256 not in ids[3]
+
+
 def test_quanta_take_turns_like_a_sorted_list():
     quanta = np.array([7, 3, 1, 12])
     order = sorted((((2 * j + 1) / (2 * u), s, j) for s, u in enumerate(quanta) for j in range(u)))
