@@ -82,10 +82,11 @@ def count(blocks: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         block, held, size = None, [], 0
 
         def counted() -> pa.RecordBatch:
-            grams = np.concatenate([g for g, _ in held])
-            chosen = np.repeat([c for _, c in held], [len(g) for g, _ in held])
-            kinds, place = np.unique(grams, return_inverse=True)
-            n, n_target = (np.bincount(place, weights, len(kinds)).astype(np.int64) for weights in (None, chosen))
+            kinds, n = np.unique(np.concatenate([g for g, _ in held]), return_counts=True)
+            n_target, chosen = np.zeros(len(kinds), np.int64), [g for g, c in held if c]
+            if chosen:
+                some, times = np.unique(np.concatenate(chosen), return_counts=True)
+                n_target[np.searchsorted(kinds, some)] = times
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), block)), *map(pa.array, (kinds, n, n_target))],
                                               ["block", "gram", "n", "n_target"])
 
@@ -95,7 +96,7 @@ def count(blocks: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     yield counted()
                     held, size = [], 0
                 block, size = number, size + len(text)
-                held.append((trigrams(text), float(chosen)))
+                held.append((trigrams(text), chosen))
         if held:
             yield counted()
 
