@@ -3,8 +3,8 @@
 Candidates come from SimHash fingerprints within three bits (see `simhash`) and from MinHash
 bands: sixteen bands of five minima bring a pair at 0.8 together with probability 0.998,
 while fingerprints at 0.8 differ in some ten bits, out of reach of any radius that can be
-joined on. In each bucket texts meet its smallest text, and those that this leaves apart
-meet three others; every candidate is checked by its exact similarity before it links.
+joined on. In each bucket texts meet its smallest text, and then all those that this leaves
+apart; every candidate is checked by its exact similarity before it links.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codonloom.llm import graph, simhash
@@ -26,6 +26,7 @@ WIDTH = 5
 BANDS, MINIMA = 16, 5  # bands, and minima in each
 LEAST_AGREEMENT = 0.6  # share of equal minima below which a pair cannot be expected at 0.8 (over four deviations)
 SHARE_ROWS = 128  # texts compared with one hub in a task
+CELL_ROWS = 1024  # texts of a bucket, about, that meet those of another cell in a task
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 63, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1)
 _MASKS = _RNG.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64)
@@ -85,13 +86,12 @@ def _likely(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return stage(full.select("a", "b", "s1", "s2").mapInArrow(batches, "a bigint, b bigint"), "likely")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, key: str) -> DataFrame:
-    """The pairs (`a`, `b`) of names whose sets are similar.
+def _verified(likely: DataFrame, docs: DataFrame, prints: DataFrame, key: str) -> DataFrame:
+    """The pairs (`a`, `b`) of names, given as a written table of distinct ones, whose sets are similar.
 
     The set of a hub `a` goes once to each share of its partners and theirs once to each
     hub; within a task the hub comes first and is compared with what follows.
     """
-    likely = _likely(pairs, prints)
     names = likely.select(F.col("a").alias("name")).unionByName(likely.select(F.col("b").alias("name"))).distinct()
     keys = stage(prints.join(names, "name").groupBy("name").agg(F.min(key).alias("_at")).select("_at"), "wanted")
     texts = docs.join(keys, F.col(key) == F.col("_at"), "left_semi")
@@ -133,33 +133,78 @@ def _by_fingerprint(prints: DataFrame) -> DataFrame:
     return equal.unionByName(near)
 
 
-def _meeting(few: DataFrame, turn: int) -> DataFrame:
+def _meeting(few: DataFrame, turn: int = 0) -> DataFrame:
     """Pairs of each bucket's texts with the one that comes first in the order of this turn."""
     order = F.struct(F.xxhash64("name", F.lit(turn)) if turn else F.lit(0).cast("long"), "name")
     hubs = stage(few.groupBy("bucket").agg(F.min(order).alias("hub")).select("bucket", F.col("hub.name").alias("hub")), "hubs")
     return few.join(hubs, "bucket").filter("name <> hub")
 
 
+def _words(sketch: str) -> list[Column]:
+    """The bytes of a sketch, eight to a number."""
+    return [F.conv(F.hex(F.substring(sketch, 8 * i + 1, 8)), 16, -10).cast("long") for i in range(BANDS * MINIMA // 8)]
+
+
+def _differing(x: str, y: str) -> Column:
+    """Number of bytes in which two lists of words differ: the bits of each byte are folded into its last one."""
+    count = F.lit(0)
+    for i in range(BANDS * MINIMA // 8):
+        bits = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        for shift in (4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
+        count = count + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+    return count
+
+
+def _apart(rest: DataFrame, prints: DataFrame) -> DataFrame:
+    """The distinct pairs (`a`, `b`) of texts in one bucket but in different parts whose sizes and minima allow the similarity.
+
+    `rest` holds (`bucket`, `name`, `part`). The texts of a bucket are dealt to cells by hash,
+    those of a large part to cells of their own, and each two cells meet by themselves, so a
+    bucket of any size is spread and no two cells of one part meet.
+    """
+    shares = stage(rest.groupBy("bucket", "part").agg(F.count("*").alias("n")).select(
+        "bucket", "part", "n", (F.col("n") > CELL_ROWS).alias("large")), "shares")
+    small = stage(shares.groupBy("bucket").agg(F.sum(F.when(F.col("large"), 0).otherwise(F.col("n"))).alias("small")), "small")
+    wide = shares.join(small, "bucket").select(
+        "bucket", "part", F.when(F.col("large"), F.col("part")).alias("own"),
+        F.ceil(F.when(F.col("large"), F.col("n")).otherwise(F.col("small")) / CELL_ROWS).alias("width"))
+    # A small part stays whole; only a large one is cut.
+    cell = F.xxhash64("own", F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("part")).otherwise(F.col("name"))), F.col("width")))
+    names = rest.select("name").distinct()
+    held = stage(prints.join(names, "name", "left_semi").dropDuplicates(["name"]).select("name", "m", F.array(*_words("sketch")).alias("words")), "held")
+    dealt = stage(rest.join(wide, ["bucket", "part"]).withColumn("cell", cell).select("bucket", "cell", "own", "name", "part"), "dealt")
+    cells = stage(dealt.groupBy("bucket").agg(F.collect_set(F.struct("cell", F.col("own").alias("of"))).alias("cells")), "cells")
+    placed = stage(dealt.join(cells, "bucket").join(held, "name"), "placed")
+
+    def side(tag: str, first: bool) -> DataFrame:
+        met = F.filter("cells", lambda c: (c["cell"] >= F.col("cell") if first else c["cell"] <= F.col("cell"))
+                       & (F.col("own").isNull() | c["of"].isNull() | (F.col("own") != c["of"])))
+        rows = placed.select("bucket", "cell", "name", "part", "m", "words", F.explode(F.transform(met, lambda c: c["cell"])).alias("other"))
+        low, high = ("cell", "other") if first else ("other", "cell")
+        return rows.select("bucket", F.col(low).alias("low"), F.col(high).alias("high"), *[F.col(c).alias(c + tag) for c in ("name", "part", "m", "words")])
+
+    near = (F.col("part1") != F.col("part2")) & ((F.col("low") != F.col("high")) | (F.col("name1") < F.col("name2")))
+    near = near & (5 * F.least("m1", "m2") >= 4 * F.greatest("m1", "m2")) & (
+        _differing("words1", "words2") <= int((1 - LEAST_AGREEMENT) * BANDS * MINIMA + 1e-9))
+    met = side("1", True).join(side("2", False), ["bucket", "low", "high"]).filter(near)
+    return stage(met.select(F.least("name1", "name2").alias("a"), F.greatest("name1", "name2").alias("b")).distinct(), "likely")
+
+
 def links(docs: DataFrame, prints: DataFrame, key: str) -> DataFrame:
-    """Pairs (`a`, `b`) of names of similar sets, enough of them to connect nearly all that are."""
+    """Pairs (`a`, `b`) of names of similar sets that connect all candidates that are similar."""
     entries = prints.filter("m > 0").select("name", F.explode("bands").alias("bucket")).distinct()
     entries = stage(entries, "entries")
     shared = stage(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
     few = stage(entries.join(shared, "bucket"), "few")
-    met = _meeting(few, 0).select(F.col("hub").alias("a"), F.col("name").alias("b"))
-    first = _verified(met.unionByName(_by_fingerprint(prints)), docs, prints, key)
-    # What the first round leaves in several components within a bucket meets other hubs.
+    met = _meeting(few).select(F.col("hub").alias("a"), F.col("name").alias("b"))
+    first = _verified(_likely(met.unionByName(_by_fingerprint(prints)), prints), docs, prints, key)
+    # What the first round leaves in several components within a bucket meets all across them.
     found = graph.components(first)
     placed = few.join(found, F.col("name") == F.col("node"), "left").select("bucket", "name", F.coalesce("component", "name").alias("part"))
     split = stage(placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("top")).filter("low <> top").select("bucket"), "split")
     rest = stage(placed.join(split, "bucket"), "rest")
-    parts = rest.select("name", "part").distinct()
-    more = None
-    for turn in (1, 2, 3):
-        met = _meeting(rest, turn).join(parts.select(F.col("name").alias("hub"), F.col("part").alias("hub_part")), "hub").filter(
-            "part <> hub_part").select(F.least("hub", "name").alias("a"), F.greatest("hub", "name").alias("b"))
-        more = met if more is None else more.unionByName(met)
-    return first.unionByName(_verified(more, docs, prints, key))
+    return first.unionByName(_verified(_apart(rest, prints), docs, prints, key))
 
 
 def groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -496,6 +496,22 @@ def test_recall_of_bands_at_the_limit(spark):
     assert np.mean([got[d] == want[d] for d in texts if d % 2]) >= 0.95
 
 
+@pytest.mark.parametrize("cell", [similar.CELL_ROWS, 16])
+def test_links_in_buckets_that_many_groups_share(spark, monkeypatch, cell):
+    """A hundred pairs at 0.83 over one template, at 0.75 to one another: no hub of a bucket is like most of its texts."""
+    monkeypatch.setattr(similar, "CELL_ROWS", cell)
+    template, texts = [f"t{i}" for i in range(204)], {}
+    for n in range(100):
+        for d in (2 * n, 2 * n + 1):
+            texts[d] = " ".join(template + [f"p{n}w{i}" for i in range(12)] + [f"d{d}w{i}" for i in range(21)])
+    for d in range(200, 260):  # one large group in the same buckets
+        texts[d] = " ".join(template + [f"g{i}" for i in range(33)] + [f"d{d}"])
+    want = similar_groups(texts)
+    assert len(set(want.values())) == 101
+    table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.component for r in similar.groups(table).collect()} == want
+
+
 def test_unlike_texts_with_a_common_line_make_few_pairs(spark):
     line = " ".join(f"line{i}" for i in range(12))
     rows = [(n, line + " " + " ".join(f"own{n}x{i}" for i in range(40))) for n in range(600)]
