@@ -1,14 +1,18 @@
 """Physical plans: pushed filters, pruned columns, split hot keys, bounded broadcasts."""
 
 import contextlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from codonloom.catalog import assembling
+from codonloom.catalog.views import Tables
 from codonloom.operators import graph, sampling
 from codonloom.operators.ordering import hash_rank
 from codonloom.operators.relate import map_both_ends, spread_join
 from codonloom.plans import assemble
+from codonloom.session import stage
 
 
 def plan(df) -> str:
@@ -105,3 +109,17 @@ def test_degree_carries_no_lists(spark):
     ids = spark.range(100).select(F.col("id").cast("string").alias("From"), F.col("id").alias("To"))
     text = plan(graph.degree(graph.interaction_pairs(edges, ids)))
     assert "collect_" not in text and "CartesianProduct" not in text and "BroadcastNestedLoop" not in text
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_study_tables_share_their_interaction_pairs(spark):
+    """Training, test and benchmark table read one set of gene columns, and their rows stay as they are alone."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:") + "/codonloom"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    shared = assembling.study_tables(t, lambda table, name: stage(table, name))
+    made = [n.split("-")[0] for n in set(os.listdir(folder)) - before]
+    assert made.count("pairs") == 1 and made.count("genes") == 1
+    alone = (assembling.training_table(t), assembling.test_table(t), assembling.benchmark_features(t))
+    for one, two in zip(shared, alone, strict=True):
+        assert one.columns == two.columns and one.count() == two.count() and one.exceptAll(two).isEmpty()
