@@ -5,6 +5,9 @@ Every stage but the last returns the columns of its input, one row for each row
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +77,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         versions = docs.select(secrets.blob_of(F.col("text")).alias("path"), "text")
         found = secrets.scan(versions, scratch_path(spark, "ledger"))
         spans = scope.keep(found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")), "spans")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("raw"), secrets.blob_of(F.col("text")).alias("key"))
+    # Only texts with a match can have spans, and only they move to meet them.
+    matching = F.coalesce(reduce(or_, [F.col("text").rlike(rule.pattern) for rule in secrets.RULES]), F.lit(False))
+    whole = docs.filter(matching).select(F.struct(*docs.columns).alias("row"), F.col("text").alias("raw"), secrets.blob_of(F.col("text")).alias("key"))
     joined = whole.join(spans, F.col("key") == F.col("blob"), "left")
     empty = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
     walked = F.aggregate("spans", empty, lambda s, x: F.struct(
@@ -92,7 +97,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             old = F.when(hit, F.length("masked").cast(docs.schema[name].dataType)).otherwise(old)
         return old.alias(name)
 
-    return new.select(*[column(name) for name in docs.columns])
+    return new.select(*[column(name) for name in docs.columns]).unionByName(docs.filter(~matching))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

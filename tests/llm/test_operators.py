@@ -536,6 +536,19 @@ def test_stages_with_clashing_columns(spark, tmp_path):
         assert all(r[n] == n for r in got.collect() for n in names)
 
 
+def test_masking_moves_only_texts_with_a_match(spark, tmp_path):
+    rows = [(1, "no match here"), (2, "token=abcdef1 end"), (3, None), (4, "token=abc"), (5, ""), (6, "token=abcdef1 end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    masked = corpus_pipeline.mask_secrets(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    got = {r.doc_id: (r.text, r.n_chars) for r in masked.collect()}
+    texts = {d: t if d not in (2, 6) else "[secret] end" for d, t in rows}
+    assert got == {d: (t, None if t is None else len(t)) for d, t in texts.items()}
+    # One branch has no join at all: the rows that cannot have spans.
+    plan = masked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union") and plan.count("Join") == 1
+
+
 def test_near_copy_stage_leaves_its_result_only(spark, docs):
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:") + "/codonloom"
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
