@@ -123,3 +123,12 @@ def test_study_tables_share_their_interaction_pairs(spark):
     alone = (assembling.training_table(t), assembling.test_table(t), assembling.benchmark_features(t))
     for one, two in zip(shared, alone, strict=True):
         assert one.columns == two.columns and one.count() == two.count() and one.exceptAll(two).isEmpty()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_gene_columns_come_in_one_join(spark):
+    """Mutation rows meet their scores, their label or competitor and all 47 gene columns once each."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for build, joins in ((assembling.training_table, 3), (assembling.test_table, 2), (assembling.benchmark_features, 4)):
+        text = plan(build(t))
+        assert text.count("Join ") + text.count("Join(") == joins, text
