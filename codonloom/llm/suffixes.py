@@ -7,7 +7,7 @@ document further left) goes. Strings are found exactly, in four steps:
    window's anchor. Equal windows have equal anchors, so grams that are the anchor of one
    stretch of windows in the whole corpus need no further look.
 2. Around each other anchor, the stretch of text that holds all its windows is cut out. Of
-   equal stretches within one task all but the earliest go at once.
+   equal stretches within one task those behind an earlier one go at once.
 3. Equal stretches of different tasks meet by a hash, without their bytes; all but the
    earliest go. Stretches that stay meet by gram, where a gram has different ones. Tasks
    sort their suffixes by induced sorting, and permuted common prefixes of 100 and more tie
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ from codonloom.session import stage
 LENGTH, GRAM = 100, 32
 _WIDE = LENGTH - GRAM + 1  # grams in a window
 FILTER_BITS = 26  # of the bitmap of repeated grams: 8 MB, whatever the size of the corpus
-PER_TASK, HOT = 20_000, 5_000
-_FLUSH = 400_000
+PER_TASK, HOT = 5_000, 5_000
+_FLUSH = 400_000  # stretches a task remembers
+_PIECE = 10_000  # rows that leave a task at a time
+_SEEDS = (1 << 64) - 1
 _TABLE = np.random.default_rng(10).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -111,40 +114,45 @@ _NAMES = ("doc_id", "row_hash", "first", "past", "gram", "stretch")
 
 
 def _stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """Rows with `stretch`: the earliest of each stretch in a task. Rows without: spans to remove."""
+    """Rows with `stretch`: those that nothing a task met before them precedes. Rows without: spans to remove.
+
+    A task remembers a hash and a place of each stretch, not its bytes, which leave at once. Where
+    documents come in order, a stretch leaves a task once; otherwise again for each earlier copy.
+    """
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, earliest = held.value, {}
-
-        def flush():
-            items = list(earliest.items())
-            earliest.clear()
-            return _rows([v for _, v in items], [k[0] for k, _ in items], [k[1] for k, _ in items])
-
         for batch in rows:
-            spans = []
+            spans, ahead, grams, stretches = [], [], [], []
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, row, text in zip(ids, hashes, batch.column(2).to_pylist(), strict=True):
+            for doc, row, text in zip(ids, hashes, (x.as_py() for x in batch.column(2)), strict=True):
                 if len(text) < LENGTH:
                     continue
+                before = ((doc << 64) + row + (1 << 63)) << 40  # documents in order, one number each
                 first, last, gram = anchors(np.frombuffer(text, np.uint8))
                 kept = np.flatnonzero(_set_in(words, gram))
                 for a, b, g in zip(first[kept].tolist(), last[kept].tolist(), gram[kept].tolist(), strict=True):
-                    key, here = (g, text[a:b + LENGTH]), (doc, row, a, b + LENGTH)
-                    there = earliest.setdefault(key, here)
-                    if there != here:  # repeated rows are one document
-                        earliest[key] = min(there, here)
-                        gone = max(there, here)
-                        if spans and spans[-1][:2] == gone[:2] and spans[-1][2] <= gone[2] <= spans[-1][3]:
-                            spans[-1] = (*gone[:2], spans[-1][2], max(spans[-1][3], gone[3]))
+                    stretch = text[a:b + LENGTH]
+                    here = before + a
+                    there = earliest.setdefault(key := xxhash.xxh3_128_digest(stretch, g & _SEEDS), here)
+                    if there < here:
+                        if spans and spans[-1][:2] == (doc, row) and spans[-1][2] <= a <= spans[-1][3]:
+                            spans[-1] = (doc, row, spans[-1][2], max(spans[-1][3], b + LENGTH))
                         else:
-                            spans.append(gone)
-            if spans:
-                yield _rows(spans, [None] * len(spans), [None] * len(spans))
-            if len(earliest) > _FLUSH:
-                yield flush()
-        yield flush()
+                            spans.append((doc, row, a, b + LENGTH))
+                    elif here < there or here is there:  # repeated rows are one document
+                        earliest[key] = here
+                        ahead.append((doc, row, a, b + LENGTH))
+                        grams.append(g)
+                        stretches.append(stretch)
+                if len(stretches) + len(spans) > _PIECE:
+                    yield _rows(ahead + spans, grams + [None] * len(spans), stretches + [None] * len(spans))
+                    spans, ahead, grams, stretches = [], [], [], []
+                if len(earliest) > _FLUSH:
+                    earliest.clear()
+            if stretches or spans:
+                yield _rows(ahead + spans, grams + [None] * len(spans), stretches + [None] * len(spans))
 
     return docs.mapInArrow(batches, f"{_SPAN}, {_STRETCH}")
 
@@ -264,8 +272,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     found = stage(_stretches(docs, _bitmap(repeated)), "stretches", compression="zstd")
     sure = found.filter("stretch is null").select("doc_id", "row_hash", "first", "past")
     open_ = found.filter("stretch is not null")
-    # Tasks reported their own earliest copies: at most one row a task meets here, without
-    # its bytes. The earliest of all stays open; repeated rows tie, as they are one document.
+    # Tasks dropped what came behind an earlier copy: few rows a task meet here, without
+    # their bytes. The earliest of all stays open; repeated rows tie, as they are one document.
     same = Window.partitionBy("gram", "content").orderBy("doc_id", "row_hash", "first")
     ranked = open_.select("doc_id", "row_hash", "first", "past", "gram", F.xxhash64("stretch").alias("content")).withColumn("rank", F.rank().over(same))
     is_first = F.col("rank") == 1

@@ -394,6 +394,39 @@ def test_suffix_dedup(spark, real, hot, monkeypatch):
     assert got == without_repeats([(r.doc_id, r.text) for r in real])
 
 
+def test_suffix_dedup_with_later_documents_first(spark):
+    rng = np.random.default_rng(3)
+    passage, other = (" ".join(rng.choice(["ab", "cde", "f", "ghij"], 90)) for _ in range(2))
+    rows = [(i, f"{i} {passage} x {other if i % 2 else ''} {i} {passage}"[:400 + 17 * i]) for i in range(12, 0, -1)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.without_repeats(table).collect()}
+    assert got == without_repeats(sorted(rows))
+
+
+def test_stretches_leave_a_task_while_it_reads(spark):
+    # Holding the bytes of all stretches of a task took an executor over its memory.
+    import pyarrow as pa
+
+    class Table:
+        sparkSession = spark
+
+        def mapInArrow(self, work, schema):
+            return work
+
+    text = np.random.default_rng(4).integers(97, 123, 5000).astype(np.uint8).tobytes()
+    given = []
+
+    def batches():
+        for i in range(3):
+            given.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i]), pa.array([text], pa.binary())], ["doc_id", "row_hash", "text"])
+
+    made = suffixes._stretches(Table(), np.full(1 << (suffixes.FILTER_BITS - 6), -1, np.int64).view(np.uint64))(batches())
+    assert next(made).column(5).null_count == 0 and given == [0]
+    rest = pa.Table.from_batches(made)
+    assert rest.column("stretch").null_count == len(rest) == 2 and rest.column("past").to_pylist() == [5000, 5000]
+
+
 def test_suffix_dedup_awkward_rows(spark, docs):
     kept = docs.filter("doc_id is not null and doc_id <> 6")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.without_repeats(kept).collect()}
