@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,8 +94,11 @@ def _grams(docs: DataFrame) -> DataFrame:
 
 
 def _bitmap(repeated: DataFrame) -> np.ndarray:
-    """A bit for the leading bits of each hash in column `gram`; at most 2 ** (FILTER_BITS - 6) rows reach the driver."""
-    place = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
+    """A bit for the last bits of each hash in column `gram`; at most 2 ** (FILTER_BITS - 6) rows reach the driver.
+
+    The leading bits will not do: an anchor is the least of 69 hashes, so those bits crowd at the bottom.
+    """
+    place = F.col("gram").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     word = F.shiftright(place, 6).alias("word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     rows = repeated.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -104,7 +108,7 @@ def _bitmap(repeated: DataFrame) -> np.ndarray:
 
 
 def _set_in(words: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = values.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    place = values.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
     return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -284,14 +288,15 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     earliest = told.filter("gram is not null")
     # Only grams with different stretches need a look at the bytes.
     kinds = stage(earliest.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "kinds")
-    shipped = _shipped(open_, _bitmap(earliest.select(F.col("place").alias("gram"))), _bitmap(kinds))
+    firsts = _bitmap(earliest.select(F.col("place").alias("gram")))
     # At most one gram for every HOT stretches. Spark broadcasts this table only if it is
     # small; then the stretches are shuffled once, to meet by gram.
     crowded = stage(kinds.filter(F.col("n") > HOT).select("gram"), "crowded")
-    total = kinds.filter(F.col("n") <= HOT).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    usual = kinds.filter(F.col("n") <= HOT)
+    total = usual.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     tasks = max(1, -(-total // PER_TASK))
-    gathered = shipped.join(crowded, "gram", "left_anti").select(*_NAMES).repartition(tasks, "gram")
-    hot = shipped.join(crowded, "gram", "left_semi").select(*_NAMES)
+    gathered = _shipped(open_, firsts, _bitmap(usual)).join(crowded, "gram", "left_anti").select(*_NAMES).repartition(tasks, "gram")
+    hot = _shipped(open_, firsts, _bitmap(crowded)).join(crowded, "gram", "left_semi").select(*_NAMES)
     return sure.unionByName(later).unionByName(_settle(gathered)).unionByName(_settle_hot(hot))
 
 
@@ -320,7 +325,23 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spans = removed_spans(rows)
     # No more spans than the document has bytes.
     per_row = stage(spans.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("first", "past")).alias("spans")), "spans")
-    met = rows.join(per_row, ["doc_id", "row_hash"], "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.past").alias("past"))
+    # Only texts that may have some move to meet them.
+    held = docs.sparkSession.sparkContext.broadcast(_bitmap(per_row.select(F.col("row_hash").alias("gram"))))
+
+    def concerned(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            yield batch.filter(pa.array(_set_in(held.value, batch.column(1).to_numpy())))
+
+    def untouched(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            kept = batch.filter(pa.array(~_set_in(held.value, batch.column(1).to_numpy())))
+            none = pa.array(np.zeros(kept.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column(0), pc.binary_length(kept.column(2)).cast(pa.int64()), none, none, kept.column(2)],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    moved = rows.mapInArrow(concerned, "doc_id bigint, row_hash bigint, text binary")
+    met = moved.join(per_row, ["doc_id", "row_hash"], "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.past").alias("past"))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -333,5 +354,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                  pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    done = met.mapInArrow(batches, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    made = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+    done = met.mapInArrow(batches, made).unionByName(rows.mapInArrow(untouched, made))
     return done.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))

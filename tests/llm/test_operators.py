@@ -427,6 +427,20 @@ def test_stretches_leave_a_task_while_it_reads(spark):
     assert rest.column("stretch").null_count == len(rest) == 2 and rest.column("past").to_pylist() == [5000, 5000]
 
 
+def test_anchors_spread_over_the_bitmap(spark):
+    # By their leading bits a fifth of other anchors met a set bit here; by chance a hundredth does.
+    rng = np.random.default_rng(5)
+    held, other = (suffixes.anchors(rng.integers(97, 123, size).astype(np.uint8))[2] for size in (400_000, 40_000))
+    bits = 20
+    old, suffixes.FILTER_BITS = suffixes.FILTER_BITS, bits
+    try:
+        words = suffixes._bitmap(spark.createDataFrame([(int(g),) for g in held], "gram bigint"))
+        assert suffixes._set_in(words, held).all()
+        assert suffixes._set_in(words, other).mean() < 3 * len(held) / (1 << bits)
+    finally:
+        suffixes.FILTER_BITS = old
+
+
 def test_suffix_dedup_awkward_rows(spark, docs):
     kept = docs.filter("doc_id is not null and doc_id <> 6")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.without_repeats(kept).collect()}
