@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from codonloom.llm import graph, simhash
 from codonloom.llm.arrow import map_texts
+from codonloom.llm.bitmaps import may_hold
 from codonloom.llm.ngrams import LOWER, word_grams
 from codonloom.session import scratch_scope, stage
 
@@ -94,7 +95,7 @@ def _verified(likely: DataFrame, docs: DataFrame, prints: DataFrame, key: str) -
     """
     names = likely.select(F.col("a").alias("name")).unionByName(likely.select(F.col("b").alias("name"))).distinct()
     keys = stage(prints.join(names, "name").groupBy("name").agg(F.min(key).alias("_at")).select("_at"), "wanted")
-    texts = docs.join(keys, F.col(key) == F.col("_at"), "left_semi")
+    texts = docs.filter(may_hold(keys, key)).join(keys, F.col(key) == F.col("_at"), "left_semi")
 
     def work(batch: list[bytes]) -> list:
         found = [shingle_set(t) for t in batch]

@@ -27,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codonloom.llm.bitmaps import bitmap, set_in
 from codonloom.llm.induced import permuted_lcp, suffix_array
 from codonloom.session import stage
 
 LENGTH, GRAM = 100, 32
 _WIDE = LENGTH - GRAM + 1  # grams in a window
-FILTER_BITS = 26  # of the bitmap of repeated grams: 8 MB, whatever the size of the corpus
 PER_TASK, HOT = 5_000, 5_000
 _FLUSH = 400_000  # stretches a task remembers
 _PIECE = 10_000  # rows that leave a task at a time
@@ -93,37 +93,18 @@ def _grams(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(batches, "gram bigint")
 
 
-def _bitmap(repeated: DataFrame) -> np.ndarray:
-    """A bit for the last bits of each hash in column `gram`; at most 2 ** (FILTER_BITS - 6) rows reach the driver.
-
-    The leading bits will not do: an anchor is the least of 69 hashes, so those bits crowd at the bottom.
-    """
-    place = F.col("gram").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    word = F.shiftright(place, 6).alias("word")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    rows = repeated.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return words.view(np.uint64)
-
-
-def _set_in(words: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = values.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-    return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 _SPAN = "doc_id bigint, row_hash bigint, first bigint, past bigint"
 _STRETCH = "gram bigint, stretch binary"
 _NAMES = ("doc_id", "row_hash", "first", "past", "gram", "stretch")
 
 
-def _stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def _stretches(docs: DataFrame, repeated: np.ndarray) -> DataFrame:
     """Rows with `stretch`: those that nothing a task met before them precedes. Rows without: spans to remove.
 
     A task remembers a hash and a place of each stretch, not its bytes, which leave at once. Where
     documents come in order, a stretch leaves a task once; otherwise again for each earlier copy.
     """
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    held = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, earliest = held.value, {}
@@ -135,7 +116,7 @@ def _stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                     continue
                 before = ((doc << 64) + row + (1 << 63)) << 40  # documents in order, one number each
                 first, last, gram = anchors(np.frombuffer(text, np.uint8))
-                kept = np.flatnonzero(_set_in(words, gram))
+                kept = np.flatnonzero(set_in(words, gram))
                 for a, b, g in zip(first[kept].tolist(), last[kept].tolist(), gram[kept].tolist(), strict=True):
                     stretch = text[a:b + LENGTH]
                     here = before + a
@@ -262,7 +243,7 @@ def _shipped(open_: DataFrame, firsts: np.ndarray, contested: np.ndarray) -> Dat
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, grams = held.value
         for batch in rows:
-            keep = _set_in(grams, batch.column(4).to_numpy()) & _set_in(places, batch.column(6).to_numpy())
+            keep = set_in(grams, batch.column(4).to_numpy()) & set_in(places, batch.column(6).to_numpy())
             if keep.any():
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(6)], [*_NAMES])
 
@@ -273,7 +254,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """`doc_id`, `row_hash`, `first` and `past` of byte spans to remove; they may overlap."""
     repeated = stage(_grams(docs).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated")
     # Neighbouring stretches overlap, so this table packs well.
-    found = stage(_stretches(docs, _bitmap(repeated)), "stretches", compression="zstd")
+    found = stage(_stretches(docs, bitmap(repeated)), "stretches", compression="zstd")
     sure = found.filter("stretch is null").select("doc_id", "row_hash", "first", "past")
     open_ = found.filter("stretch is not null")
     # Tasks dropped what came behind an earlier copy: few rows a task meet here, without
@@ -288,15 +269,15 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     earliest = told.filter("gram is not null")
     # Only grams with different stretches need a look at the bytes.
     kinds = stage(earliest.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "kinds")
-    firsts = _bitmap(earliest.select(F.col("place").alias("gram")))
+    firsts = bitmap(earliest.select(F.col("place").alias("gram")))
     # At most one gram for every HOT stretches. Spark broadcasts this table only if it is
     # small; then the stretches are shuffled once, to meet by gram.
     crowded = stage(kinds.filter(F.col("n") > HOT).select("gram"), "crowded")
     usual = kinds.filter(F.col("n") <= HOT)
     total = usual.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     tasks = max(1, -(-total // PER_TASK))
-    gathered = _shipped(open_, firsts, _bitmap(usual)).join(crowded, "gram", "left_anti").select(*_NAMES).repartition(tasks, "gram")
-    hot = _shipped(open_, firsts, _bitmap(crowded)).join(crowded, "gram", "left_semi").select(*_NAMES)
+    gathered = _shipped(open_, firsts, bitmap(usual)).join(crowded, "gram", "left_anti").select(*_NAMES).repartition(tasks, "gram")
+    hot = _shipped(open_, firsts, bitmap(crowded)).join(crowded, "gram", "left_semi").select(*_NAMES)
     return sure.unionByName(later).unionByName(_settle(gathered)).unionByName(_settle_hot(hot))
 
 
@@ -326,15 +307,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     # No more spans than the document has bytes.
     per_row = stage(spans.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("first", "past")).alias("spans")), "spans")
     # Only texts that may have some move to meet them.
-    held = docs.sparkSession.sparkContext.broadcast(_bitmap(per_row.select(F.col("row_hash").alias("gram"))))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(per_row.select(F.col("row_hash").alias("gram"))))
 
     def concerned(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            yield batch.filter(pa.array(_set_in(held.value, batch.column(1).to_numpy())))
+            yield batch.filter(pa.array(set_in(held.value, batch.column(1).to_numpy())))
 
     def untouched(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            kept = batch.filter(pa.array(~_set_in(held.value, batch.column(1).to_numpy())))
+            kept = batch.filter(pa.array(~set_in(held.value, batch.column(1).to_numpy())))
             none = pa.array(np.zeros(kept.num_rows, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [kept.column(0), pc.binary_length(kept.column(2)).cast(pa.int64()), none, none, kept.column(2)],

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonloom.llm import decontaminate, packing, quality, secrets, similar
+from codonloom.llm.bitmaps import may_hold
 from codonloom.session import configure, scratch_path, scratch_scope, stage
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -50,9 +51,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     names = docs.columns
     keyed = docs.select(F.struct(*names).alias("row"), row_key().alias("key"), "text")
     with scratch_scope(spark) as scope:
-        first = stage(similar.groups(keyed, "key").select(F.col("component").alias("first")).distinct(), "first")
-        kept = keyed.join(first, F.col("key") == F.col("first"), "left_semi")
-        return scope.keep(kept.dropDuplicates(["key"]).select("row.*"), "without_copies")
+        found = similar.groups(keyed, "key").groupBy("key").agg(F.min("component").alias("first"), F.count("*").alias("n"))
+        # Rows that are alone in their group and have a key of their own stay where they are.
+        shared = stage(found.filter((F.col("n") > 1) | (F.col("first") != F.col("key"))).select(
+            F.col("key").alias("shared"), (F.col("first") == F.col("key")).alias("stays")), "shared")
+        moves = may_hold(shared.select("shared"), "key")
+        met = keyed.filter(moves).join(shared, F.col("key") == F.col("shared"), "left").filter(F.coalesce("stays", F.lit(True)))
+        kept = met.dropDuplicates(["key"]).select("row.*").unionByName(keyed.filter(~moves).select("row.*"))
+        return scope.keep(kept, "without_copies")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

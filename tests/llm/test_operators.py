@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from codonloom.llm import (decontaminate, entries, graph, induced, lm, packing, quality, secrets, sharding, similar, simhash, suffixes,
+from codonloom.llm import (bitmaps, decontaminate, entries, graph, induced, lm, packing, quality, secrets, sharding, similar, simhash, suffixes,
                            toxicity, urls)
 
 FOLDER = "/root/testdata/sf0.001"
@@ -421,7 +421,7 @@ def test_stretches_leave_a_task_while_it_reads(spark):
             given.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i]), pa.array([text], pa.binary())], ["doc_id", "row_hash", "text"])
 
-    made = suffixes._stretches(Table(), np.full(1 << (suffixes.FILTER_BITS - 6), -1, np.int64).view(np.uint64))(batches())
+    made = suffixes._stretches(Table(), np.full(1 << (bitmaps.FILTER_BITS - 6), -1, np.int64).view(np.uint64))(batches())
     assert next(made).column(5).null_count == 0 and given == [0]
     rest = pa.Table.from_batches(made)
     assert rest.column("stretch").null_count == len(rest) == 2 and rest.column("past").to_pylist() == [5000, 5000]
@@ -432,13 +432,13 @@ def test_anchors_spread_over_the_bitmap(spark):
     rng = np.random.default_rng(5)
     held, other = (suffixes.anchors(rng.integers(97, 123, size).astype(np.uint8))[2] for size in (400_000, 40_000))
     bits = 20
-    old, suffixes.FILTER_BITS = suffixes.FILTER_BITS, bits
+    old, bitmaps.FILTER_BITS = bitmaps.FILTER_BITS, bits
     try:
-        words = suffixes._bitmap(spark.createDataFrame([(int(g),) for g in held], "gram bigint"))
-        assert suffixes._set_in(words, held).all()
-        assert suffixes._set_in(words, other).mean() < 3 * len(held) / (1 << bits)
+        words = bitmaps.bitmap(spark.createDataFrame([(int(g),) for g in held], "gram bigint"))
+        assert bitmaps.set_in(words, held).all()
+        assert bitmaps.set_in(words, other).mean() < 3 * len(held) / (1 << bits)
     finally:
-        suffixes.FILTER_BITS = old
+        bitmaps.FILTER_BITS = old
 
 
 def test_suffix_dedup_awkward_rows(spark, docs):
@@ -463,6 +463,20 @@ def test_awkward_and_empty_tables(spark, docs, name):
     assert run(docs.limit(0)).count() == 0
 
 
+def test_texts_without_near_copies_do_not_move(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(3000)])
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(60)]
+    rows = [(i, t, i % 3) for i, t in enumerate([*texts, texts[3], texts[5] + " more"])] + [(7, texts[7], 1), (None, texts[9], 2)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, row int").repartition(3)
+    moved, kind = [], type(table)
+    plain = kind.dropDuplicates
+    monkeypatch.setattr(kind, "dropDuplicates", lambda self, subset=None: (moved.append(self.count() if subset == ["key"] else 0), plain(self, subset))[1])
+    kept = corpus_pipeline.drop_near_copies(spark, table, "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(60)) and {r.doc_id: r.text for r in kept} == dict(enumerate(texts))
+    assert 0 < max(moved) < 10  # all 62 rows before
+
+
 def test_masking_and_near_copies(spark, docs):
     masked = {r.doc_id: r.text for r in corpus_pipeline.mask_secrets(spark, docs, "").filter("doc_id in (2, 9, 10)").collect()}
     assert masked[10] == "[secret] é password=12" and masked[2] is None and masked[9].startswith("before")
