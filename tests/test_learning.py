@@ -1,5 +1,8 @@
 """Models on a small separable table."""
 
+import os
+import sys
+
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
@@ -11,6 +14,10 @@ from codonloom.learn.models import recipes
 from codonloom.operators.sampling import assign_folds
 from codonloom.sources.schemas import BINARY_FEATURES, NUMERIC_FEATURES
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import __spark_entry__ as contract  # noqa: E402
+
 NUMERIC, BINARY = ("a", "b"), ("flag",)
 
 
@@ -128,3 +135,11 @@ def test_report_with_neighbours_and_a_competitor(data):
     for name in ("decision_tree", "nearest_neighbors"):
         assert {d for d, c, _ in got if c == name} == {"held_out", "bench", "bench_balanced"}
         assert got["held_out", name, "auc"] > 0.7 and got["bench", name, "accuracy"] > 0.7
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_saved_model_scores_need_no_folds(spark, monkeypatch):
+    monkeypatch.setattr(search, "fold_predictions", None)
+    monkeypatch.setattr("codonloom.catalog.learning._SEARCHES", {})
+    row = contract.queries()["saved_model_scores"](spark, "/root/testdata/sf0.001").first()
+    assert row["n"] == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count() and row["n_different"] == 0
