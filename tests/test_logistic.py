@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 
-from codonloom.learn.logistic import ElasticNet
+from codonloom.learn.logistic import ElasticNet, penalized_step
 from codonloom.learn.models import recipes
 
 
@@ -28,3 +28,20 @@ def test_nets_reach_the_weights_of_spark(spark):
 
 def test_a_fold_of_the_search_is_one_fit():
     assert recipes()["logistic_regression"].pipeline.getStages()[-1].fits_together
+
+
+def test_a_step_over_correlated_features_ends_at_the_minimum():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 1)) + 0.02 * rng.normal(size=(400, 30))
+    wide = np.concatenate([x, np.zeros((400, 1)), np.ones((400, 1))], 1)
+    target = x[:, 0] - x[:, 1] + 0.5 * x[:, 2] + rng.normal(size=400)
+    bent = np.stack([wide.T @ wide / 400] * 3)
+    at = rng.normal(size=(3, 32)) * 0.1
+    slope = np.stack([wide.T @ (wide @ a - target) / 400 for a in at])
+    free = np.append(np.ones(31), 0.0)[None]
+    lasso, ridge = np.array([[1e-4], [1e-3], [5e-3]]) * free, np.array([[1e-5], [1e-4], [0.0]]) * free
+    new = penalized_step(slope, bent, at, lasso, ridge)
+    pull = slope + np.einsum("mij,mj->mi", bent, new - at) + ridge * new
+    off = np.where(new != 0, np.abs(pull + lasso * np.sign(new)), np.maximum(np.abs(pull) - lasso, 0.0))
+    assert off[:, [*range(30), 31]].max() < 1e-9
+    assert (new[:2, 30] == 0).all() and new[2, 30] == at[2, 30] and (new[:, :30] == 0).any()
